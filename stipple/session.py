@@ -49,12 +49,13 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Cuts the lineage: writes ``df`` to the shared folder and reads it back.
 
-    The table outlives lost executors, and whatever reads it twice computes it once.
+    The table outlives lost executors, and whatever reads it twice computes it once. With ``partition_by``, a filter on
+    those columns reads only the directories it needs.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stipple-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
