@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stipple.llm import heavy, seen, topn
+from stipple.llm import heavy, leakage, packing, seen, topn, truncation
 from stipple.session import load
 
 FINGERPRINT_BITS = 64
 STRID_SHARE, TILE_SHARE = 0.005, 0.03
+CONTAINER = 2048
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -53,7 +54,32 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return de.unionByName(pix)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_wrong_answers, p3_found, p3_counts, p6_found)}
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every subtitle file, or piece of one that is larger than a container, with its container of 2,048 tokens."""
+    return packing.pack_texts(load(spark, d, "documents"), "doc_id", "text", CONTAINER)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files that reproduce at least 14 consecutive words of an evaluation item, or all of it."""
+    return leakage.leaks(load(spark, d, "documents"), load(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every evaluation item with the number of files that reproduce it."""
+    return leakage.leaked_items(p8_found(spark, d), load(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files that were cut off before their end."""
+    return truncation.judge(load(spark, d, "documents")).filter("cut").select("doc_id")
+
+
+def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """How many files of each source were cut off, and their share."""
+    return truncation.by_source(truncation.judge(load(spark, d, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_wrong_answers, p3_found, p3_counts, p6_found, p7_containers, p8_found, p8_leaked_items, p9_found, p9_by_source)}
 
 _P3 = """
 WITH r AS (SELECT 'strid' AS field, strid AS val, 0.005 AS share FROM sbcd_recs UNION ALL SELECT 'tile', CAST(tile AS VARCHAR), 0.03 FROM sbcd_recs),
