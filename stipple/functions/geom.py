@@ -98,8 +98,10 @@ def cells_between(low: Column, high: Column, side: float) -> Column:
 def scan_fill(xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The grid cells (i, j) whose centres are in a ring given in grid units, row by row."""
     x1, y1 = np.asarray(xs, dtype=float), np.asarray(ys, dtype=float)
+    whole = np.isfinite(x1) & np.isfinite(y1)
+    x1, y1 = x1[whole], y1[whole]
     x2, y2 = np.roll(x1, -1), np.roll(y1, -1)
-    ok = np.isfinite(x1 + y1 + x2 + y2) & (y1 != y2)
+    ok = y1 != y2
     x1, y1, x2, y2 = x1[ok], y1[ok], x2[ok], y2[ok]
     out_i, out_j = [], []
     if len(x1):

@@ -38,8 +38,10 @@ def finite(c: Column) -> Column:
 
 def slabs(xs: np.ndarray, ys: np.ndarray) -> Iterator[tuple[float, float, np.ndarray, bool]]:
     """The slabs of a ring, closed or open: from y, to y, edges (x, y, dx/dy) from left to right, and if that order holds throughout."""
+    whole = np.isfinite(xs) & np.isfinite(ys)
+    xs, ys = xs[whole], ys[whole]
     x2, y2 = np.roll(xs, -1), np.roll(ys, -1)
-    ok = np.isfinite(xs) & np.isfinite(ys) & np.isfinite(x2) & np.isfinite(y2) & (ys != y2)
+    ok = ys != y2
     x1, y1, x2, y2 = xs[ok], ys[ok], x2[ok], y2[ok]
     if not len(x1):
         return
@@ -202,7 +204,7 @@ def near_and_inside(
     """``kind = 'near'``: ids a < b of two points at most ``distance`` apart; ``kind = 'in'``: point a in region b, even-odd.
 
     Points with a null, NaN or infinite coordinate or a null id take no part. A region takes part if both lists are
-    non-null, equally long and have at least 3 vertices; a null or NaN vertex removes its two edges. Points with equal
+    non-null, equally long and have at least 3 vertices; a null, NaN or infinite vertex is passed over. Points with equal
     coordinates are near each other. Empty inputs give no rows; other columns are ignored. ``distance=None`` leaves the
     near pairs out, ``regions=None`` the regions. ``tile`` must be at least twice the distance.
     """
@@ -226,7 +228,7 @@ def near_and_inside(
     if regions is not None:
         rings = regions.select(F.col(region_id).cast("long").alias("id"), F.col(xs).cast("array<double>").alias("xs"), F.col(ys).cast("array<double>").alias("ys"))
         rings = rings.filter(F.col("id").isNotNull() & (F.size("xs") == F.size("ys")) & (F.size("xs") >= 3))
-        # a null vertex is the same as NaN; extents are over the finite ones
+        # a null vertex becomes NaN; extents are over the finite ones
         rings = rings.select("id", *(F.transform(c, lambda v: F.coalesce(v, F.lit(float("nan")))).alias(c) for c in ("xs", "ys")))
 
         def extent(c: str) -> Column:

@@ -13,9 +13,9 @@ POINT, REGION = "mol_id long, x double, y double, kind string", "poly_id long, x
 
 def inside(xs, ys, x, y):
     odd = False
+    kept = [(a, b) for a, b in zip(xs, ys) if a is not None and b is not None]
+    xs, ys = [a for a, _ in kept], [b for _, b in kept]
     for x1, y1, x2, y2 in zip(xs, ys, xs[1:] + xs[:1], ys[1:] + ys[:1]):
-        if None in (x1, y1, x2, y2) or any(map(math.isnan, (x1, y1, x2, y2))):
-            continue
         if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
             odd = not odd
     return odd
@@ -58,7 +58,8 @@ def test_against_brute_force(spark):
     got = proximity.near_and_inside(spark.createDataFrame(points, POINT), spark.createDataFrame(regions, REGION), 1.7, tile=4.0)
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(set(rows))
-    assert set(rows) == brute(points, regions, 1.7)
+    want = brute(points, regions, 1.7)
+    assert set(rows) - want == set() and want - set(rows) == set()
 
 
 def test_regions_wider_than_a_level(spark):
