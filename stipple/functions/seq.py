@@ -119,6 +119,21 @@ class BarcodeFormat:
         return len(self.patterns[0])
 
 
+#: The named barcode layouts.
+FORMATS = {
+    "DraI32": BarcodeFormat(("NNNNNBNNBNNBNNBNNBNNBNNBNNBVNBNN",)),
+    "DraI31": BarcodeFormat(("NNNNNBNNBNNBNNBNNBNNBNNBNNBVNBN",)),
+    "T7-30": BarcodeFormat(("NNNNNNNNNNNNNNNNNNNNNNNNNNNNNN",), revcomp=False),
+    "HDMI30": BarcodeFormat(("NNNNNBNNBNNBNNBNNBNNBNNBNNBNNB",)),
+    "DraI20": BarcodeFormat(("NNNNNBNNBNNBNNBNNBNN",)),
+    "HDMI20": BarcodeFormat(("NNHNVNNVNVNVNVNVNVNN",)),
+    "DMix32": BarcodeFormat(("NNNNNBNNBNNBNNBNNBNNBNNBNNBNNSNN", "NNNBNNBNNBNNBNNBNNBNNBNNBNNBNNBN", "NNNNBNNBNNBNNBNNBNNBNNBNNBNNBNNB")),
+    "XGMix32": BarcodeFormat(("NNHHNNHHNNHHNNHHNNHHNNHHNNHHNNHH", "DDNNDDNNDDNNDDNNDDNNDDNNDDNNDDNN")),
+    "DPAGE32": BarcodeFormat(("NNNNNBNNBNNBNNBNNBNNBNNBNNBVNBNN", "NNNNBNNBNNBNNBNNBNNBNNBNNBNNBNNB")),
+    "XG3": BarcodeFormat(("DDNNDDNNDDNNDDNNDDNNDDNNDDNNDDNN", "NNHHNNHHNNHHNNHHNNHHNNHHNNHHNNHH")),
+}
+
+
 def best_mismatches(c: Column, patterns: tuple[str, ...]) -> Column:
     """The least mismatches to any of the patterns."""
     each = [iupac_mismatches(c, p) for p in patterns]
@@ -131,10 +146,16 @@ def illumina_name(c: Column) -> Column:
     return F.when(F.size(f) >= 7, F.struct(*(F.get(f, F.lit(i)).try_cast(t).alias(n) for i, n, t in ((3, "lane", "int"), (4, "tile", "int"), (5, "x", "bigint"), (6, "y", "bigint")))))
 
 
-def grid_name(c: Column, *, scale: int = 1000, lane: int = 1) -> Column:
-    """lane, tile, x, y of a read name with a row and column of the field, such as _R012C034_..._x_y; coordinates times ``scale``."""
-    row, col = F.regexp_extract(c, r"_R(\d+)C(\d+)_", 1), F.regexp_extract(c, r"_R(\d+)C(\d+)_", 2)
-    xy = [F.regexp_extract(c, r"_(\d+(?:\.\d+)?)_(\d+(?:\.\d+)?)(?:\s|$)", k) for k in (1, 2)]
-    tile = row.try_cast("int") * 1000 + col.try_cast("int")
-    pos = [(v.try_cast("double") * scale).cast("bigint") for v in xy]
-    return F.when(tile.isNotNull() & pos[0].isNotNull(), F.struct(F.lit(lane).alias("lane"), tile.alias("tile"), pos[0].alias("x"), pos[1].alias("y")))
+def grid_name(c: Column, *, one_tile: bool = False, lane: int = 1) -> Column:
+    """lane, tile, x, y of an underscore-separated read name: the sixth field from the end is R###C###, the last two are coordinates.
+
+    The tile is 1000000 + row * 1000 + column, or 1 for names with global coordinates (``one_tile``); coordinates are
+    thousandths, truncated. Null if the name has fewer than six fields or another form.
+    """
+    f = F.split(F.split(c, "[ \t]")[0], "_")
+    last = lambda k: F.try_element_at(f, F.lit(-k))
+    place = last(6)
+    tile = F.lit(1) if one_tile else F.lit(1_000_000) + F.regexp_extract(place, r"\AR(\d{3})C(\d+)", 1).try_cast("int") * 1000 + F.regexp_extract(place, r"\AR(\d{3})C(\d+)", 2).try_cast("int")
+    x, y = ((last(k).try_cast("double") * 1000).cast("bigint") for k in (2, 1))
+    ok = (F.size(f) >= 6) & tile.isNotNull() & x.isNotNull() & y.isNotNull()
+    return F.when(ok, F.struct(F.lit(lane).alias("lane"), tile.alias("tile"), x.alias("x"), y.alias("y")))

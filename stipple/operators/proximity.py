@@ -18,9 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stipple.session import spread
+
 #: Tiles that a region may span in one direction before it moves to the next level; the next level's tiles are as much larger.
 MAX_SPAN = 64
 #: Salts of a tile at the levels above 0.
@@ -36,54 +39,6 @@ def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
 
 
-def slabs(xs: np.ndarray, ys: np.ndarray) -> Iterator[tuple[float, float, np.ndarray, bool]]:
-    """The slabs of a ring, closed or open: from y, to y, edges (x, y, dx/dy) from left to right, and if that order holds throughout."""
-    whole = np.isfinite(xs) & np.isfinite(ys)
-    xs, ys = xs[whole], ys[whole]
-    x2, y2 = np.roll(xs, -1), np.roll(ys, -1)
-    ok = ys != y2
-    x1, y1, x2, y2 = xs[ok], ys[ok], x2[ok], y2[ok]
-    if not len(x1):
-        return
-    low, high, slope = np.minimum(y1, y2), np.maximum(y1, y2), (x2 - x1) / (y2 - y1)
-    cuts = np.unique(np.concatenate([low, high]))
-    step = max(1, BLOCK // len(x1))
-    for at in range(0, len(cuts) - 1, step):
-        a, b = cuts[at : at + step + 1][:-1], cuts[at + 1 : at + step + 1]
-        for i, own in enumerate((low <= a[:, None]) & (high >= b[:, None])):
-            e = np.flatnonzero(own)
-            if not len(e):
-                continue
-            y0, y1_ = a[i], b[i]
-            left = x1[e] + ((y0 + y1_) / 2 - y1[e]) * slope[e]
-            e = e[np.argsort(left, kind="stable")]
-            ends = x1[e] + (np.array([[y0], [y1_]]) - y1[e]) * slope[e]
-            # rings that cross themselves within a slab have no order; shared vertices may differ by rounding
-            held = bool((np.diff(ends, axis=1) >= -1e-9 * (1 + np.abs(ends[:, 1:]))).all())
-            yield y0, y1_, np.column_stack([x1[e], y1[e], slope[e]]), held
-
-
-def _slab_rows(tile: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out: dict[str, list] = {k: [] for k in ("lev", "tx", "ty", "salt", "kind", "id", "x", "y", "edges", "ordered")}
-            for ident, lev, xs, ys in zip(pdf["id"], pdf["lev"], pdf["xs"], pdf["ys"]):
-                side = tile * float(MAX_SPAN) ** lev
-                for y0, y1, edges, held in slabs(np.asarray(xs, dtype=float), np.asarray(ys, dtype=float)):
-                    ends = edges[:, 0] + (np.array([[y0], [y1]]) - edges[:, 1]) * edges[:, 2]
-                    tx = range(int(np.floor(ends.min() / side)), int(np.floor(ends.max() / side)) + 1)
-                    ty = range(int(np.floor(y0 / side)), int(np.floor(y1 / side)) + 1)
-                    packed = edges.tobytes()
-                    for salt in range(SALTS if lev else 1):
-                        for i in tx:
-                            for j in ty:
-                                for k, v in zip(out, (lev, i, j, salt, 0, ident, y0, y1, packed, held)):
-                                    out[k].append(v)
-            yield pd.DataFrame(out)
-
-    return run
-
-
 def _expand(first: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, first[row] + 0, 1, ... count[row] - 1) for all rows, in blocks."""
     total = np.cumsum(count)
@@ -97,6 +52,92 @@ def _expand(first: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray,
         at = to
 
 
+def slab_table(rings: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The slabs of rings, closed or open, in blocks: ring, from y, to y, first edge, number of edges, whether ordered; and the edges.
+
+    Edges are rows (x, y, dx/dy), from left to right within a slab. Vertices that aren't finite are passed over.
+    """
+    kept = []
+    for xs, ys in rings:
+        whole = np.isfinite(xs) & np.isfinite(ys)
+        kept.append((xs[whole], ys[whole]))
+    n = np.array([len(x) for x, _ in kept], dtype=np.int64)
+    if not n.sum():
+        return
+    x1, y1 = np.concatenate([x for x, _ in kept]), np.concatenate([y for _, y in kept])
+    ring = np.repeat(np.arange(len(n)), n)
+    after = np.arange(1, len(x1) + 1)
+    after[(np.cumsum(n) - 1)[n > 0]] = (np.cumsum(n) - n)[n > 0]  # the last vertex meets the first
+    x2, y2 = x1[after], y1[after]
+    ok = y1 != y2
+    ring, x1, y1, x2, y2 = ring[ok], x1[ok], y1[ok], x2[ok], y2[ok]
+    if not len(ring):
+        return
+    low, high, slope = np.minimum(y1, y2), np.maximum(y1, y2), (x2 - x1) / (y2 - y1)
+    own, count = np.unique(ring, return_counts=True)
+    first = np.searchsorted(ring, own)
+    at = np.concatenate([y1, y2])
+    by = np.concatenate([ring, ring])
+    order = np.lexsort((at, by))
+    at, by = at[order], by[order]
+    new = np.r_[True, (at[1:] != at[:-1]) | (by[1:] != by[:-1])]
+    at, by = at[new], by[new]
+    s = np.flatnonzero(by[1:] == by[:-1])
+    of, y_from, y_to = by[s], at[s], at[s + 1]
+    k = np.searchsorted(own, of)
+    for slab, e in _expand(first[k], count[k]):
+        inside = (low[e] <= y_from[slab]) & (high[e] >= y_to[slab])
+        slab, e = slab[inside], e[inside]
+        if not len(slab):
+            continue
+        left = x1[e] + ((y_from[slab] + y_to[slab]) / 2 - y1[e]) * slope[e]
+        order = np.lexsort((left, slab))
+        slab, e = slab[order], e[order]
+        ids, start, size = np.unique(slab, return_index=True, return_counts=True)
+        # rings that cross themselves within a slab have no order; shared vertices may differ by rounding
+        bad = np.zeros(len(slab), dtype=bool)
+        for y in (y_from, y_to):
+            x = x1[e] + (y[slab] - y1[e]) * slope[e]
+            bad[1:] |= (slab[1:] == slab[:-1]) & (np.diff(x) < -1e-9 * (1 + np.abs(x[1:])))
+        held = ~np.logical_or.reduceat(bad, start)
+        yield of[ids], y_from[ids], y_to[ids], start, size, held, np.column_stack([x1[e], y1[e], slope[e]])
+
+
+def slabs(xs: np.ndarray, ys: np.ndarray) -> Iterator[tuple[float, float, np.ndarray, bool]]:
+    """The slabs of one ring: from y, to y, edges, and if their order holds throughout."""
+    for _, y_from, y_to, start, size, held, edges in slab_table([(xs, ys)]):
+        for i in range(len(start)):
+            yield y_from[i], y_to[i], edges[start[i] : start[i] + size[i]], bool(held[i])
+
+
+def _slab_rows(tile: float):
+    names = ("lev", "tx", "ty", "salt", "kind", "id", "x", "y", "edges", "ordered")
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.bool_())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ident, lev = batch.column("id").to_numpy(), batch.column("lev").to_numpy()
+            lists = [[np.asarray(v, dtype=float) for v in batch.column(c).to_pylist()] for c in ("xs", "ys")]
+            for ring, y_from, y_to, start, size, held, edges in slab_table(list(zip(*lists))):
+                side = tile * float(MAX_SPAN) ** lev[ring].astype(float)
+                of = np.repeat(np.arange(len(ring)), size)
+                ends = edges[:, 0] + (np.stack([y_from[of], y_to[of]]) - edges[:, 1]) * edges[:, 2]
+                cell = lambda v: np.floor(v / side).astype(np.int64)  # noqa: B023, E731
+                i0, i1 = cell(np.minimum.reduceat(ends.min(axis=0), start)), cell(np.maximum.reduceat(ends.max(axis=0), start))
+                j0, j1 = cell(y_from), cell(y_to)
+                salts = np.where(lev[ring] > 0, SALTS, 1)
+                wide, tall = i1 - i0 + 1, j1 - j0 + 1
+                packed = pa.Array.from_buffers(pa.binary(), len(ring), [None, pa.py_buffer(np.r_[start, start[-1] + size[-1]].astype(np.int32) * 24), pa.py_buffer(np.ascontiguousarray(edges))])
+                for s, k in _expand(np.zeros(len(ring), dtype=np.int64), wide * tall * salts):
+                    k, salt = np.divmod(k, salts[s])
+                    j, i = np.divmod(k, wide[s])
+                    r = ring[s]
+                    columns = (lev[r], i0[s] + i, j0[s] + j, salt, np.zeros(len(s), dtype=np.int64), ident[r], y_from[s], y_to[s], None, held[s])
+                    yield pa.RecordBatch.from_arrays([packed.take(pa.array(s)) if c is None else pa.array(c).cast(t) for c, t in zip(columns, types)], names=names)
+
+    return run
+
+
 def _locate(side: float, distance: float, near: bool):
     """Joins the rows of whole tiles; ``pdf`` is sorted by tile."""
 
@@ -250,6 +291,6 @@ def near_and_inside(
         "t.lev", "t.tx", "t.ty", "t.salt", "t.kind", "id", "x", "y", F.lit(None).cast("binary").alias("edges"), F.lit(None).cast("boolean").alias("ordered")
     )
     if rings is not None:
-        rows = rows.unionByName(rings.mapInPandas(_slab_rows(tile), _ROWS))
+        rows = rows.unionByName(spread(rings).mapInArrow(_slab_rows(tile), _ROWS))
     keys = ["lev", "tx", "ty", "salt"]
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_locate(tile, r, near), "kind string, a long, b long")

@@ -56,12 +56,9 @@ def assign_regions(
     usable = regions.filter((F.size(xs) == F.size(ys)) & (F.size(xs) >= 3))
     centre = usable.select(F.col(region_id).cast("long").alias("_r"), geom.centroid(F.col(xs), F.col(ys)).alias("_c"))
     p = points.select(F.col(point_id).cast("long").alias(point_id), F.col(x).alias("_px"), F.col(y).alias("_py"))
-    # only points in several regions need the centroids
-    held = inside.groupBy(point_id).agg(F.count(F.lit(1)).alias("_n"), F.min("_r").alias("_one"), F.collect_set("_r").alias("_all"))
-    several = held.filter("_n > 1").select(point_id, F.explode("_all").alias("_r")).join(centre, "_r").join(p, point_id)
     dx, dy = F.col("_px") - F.col("_c.x"), F.col("_py") - F.col("_c.y")
-    chosen = several.groupBy(point_id).agg(F.min(F.struct((dx * dx + dy * dy).alias("d"), "_r"))["_r"].alias("_best"))
-    own = held.select(point_id, "_one").join(chosen, point_id, "left").select(point_id, F.coalesce("_best", "_one").alias(name))
+    placed = inside.join(centre, "_r").join(p, point_id)
+    own = placed.groupBy(point_id).agg(F.min(F.struct((dx * dx + dy * dy).alias("d"), "_r"))["_r"].alias(name))
     if expand > 0:
         rest = p.join(own, point_id, "left_anti").filter(proximity.finite(F.col("_px")) & proximity.finite(F.col("_py")))
         e = usable.select(F.col(region_id).cast("long").alias("_r"), F.explode(geom.edges(F.col(xs), F.col(ys))).alias("e")).select("_r", "e.*")

@@ -59,3 +59,12 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     path = f"{shared_dir(spark)}/stipple-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on all cores before a costly pass: a table read in fewer splits than there are cores is repartitioned.
+
+    A large table has more splits and stays as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -45,7 +45,10 @@ def test_nt5_round_trip_and_order(spark, texts):
 def test_read_names(spark):
     assert tuple(value(spark, seq.illumina_name, "M:1:F:2:1101:15:27 1:N:0")) == (2, 1101, 15, 27)
     assert value(spark, seq.illumina_name, "M:1:F") is None
-    assert tuple(value(spark, seq.grid_name, "run_R012C034_f_1.5_2.25")) == (1, 12034, 1500, 2250)
+    assert tuple(value(spark, seq.grid_name, "run_R012C034_f_g_h_1.5_2.25")) == (1, 1012034, 1500, 2250)
+    assert tuple(value(spark, lambda c: seq.grid_name(c, one_tile=True), "a_b_c_d_1.5_2.25")) == (1, 1, 1500, 2250)
+    assert value(spark, seq.grid_name, "run_X012C034_f_g_h_1.5_2.25") is None
+    assert all(len(p) == f.length for f in seq.FORMATS.values() for p in f.patterns)
     assert value(spark, seq.grid_name, "nothing") is None
 
 
