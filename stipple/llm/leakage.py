@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stipple.llm import subtitles
-from stipple.session import materialize
+from stipple.session import materialize, spread
 
 WORDS = 5
 #: Shingles of a passage that damage leaves.
@@ -234,7 +234,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: st
     for block in range(blocks):
         rows = texts.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).orderBy("id").collect()  # BLOCK_CHARS on average
         own = Items([(r["id"], r["t"]) for r in rows], run)
-        hits = whole.mapInArrow(_read(own), f"doc {kind}, shingles array<int>, places array<int>, words string, steps array<int>, songs array<int>")
+        hits = spread(whole).mapInArrow(_read(own), f"doc {kind}, shingles array<int>, places array<int>, words string, steps array<int>, songs array<int>")
         hits = materialize(hits)
         per = hits.select(F.explode(F.array_distinct("shingles")).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
         count = {r["s"]: r["n"] for r in per.collect()}  # one row a shingle of the block's items

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stipple.session import materialize
+from stipple.session import materialize, spread
 
 #: Items of a length that are ranked in one task.
 SALT_ROWS = 500_000
@@ -199,7 +199,7 @@ def _running(large: DataFrame, first: int) -> DataFrame:
 
 def pack_texts(docs: DataFrame, doc_id: str, text: str, capacity: int, *, vocabulary: str = VOCABULARY) -> DataFrame:
     """``pack`` of texts by their number of tokens."""
-    return pack(docs.select(F.col(doc_id), count_tokens(F.col(text), vocabulary).alias("_n")), doc_id, "_n", capacity)
+    return pack(spread(docs.select(F.col(doc_id), F.col(text))).select(F.col(doc_id), count_tokens(F.col(text), vocabulary).alias("_n")), doc_id, "_n", capacity)
 
 
 def fill(packed: DataFrame, capacity: int) -> DataFrame:

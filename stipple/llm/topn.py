@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from stipple.session import materialize
 
 #: Shares of the rows below the lower limits of the bands, from the top.
-CUTS = (0.97, 0.85, 0.5)
+CUTS = (0.9, 0.5)
 
 
 def top_n(df: DataFrame, group: Column, item: Column, score: Column, n: int, *, cuts: tuple[float, ...] = CUTS) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stipple.llm import subtitles
-from stipple.session import materialize
+from stipple.session import materialize, spread
 
 #: Words of a cue that is counted as a value; counters a task holds before it passes them on.
 SHORT_CUE, HELD = 9, 300_000
@@ -156,7 +156,7 @@ def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source
     """
     kind = dict(docs.dtypes)[doc_id]
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(source).alias("source"), F.col(text).alias("text"))
-    read = materialize(rows.mapInArrow(_read, _ENDS.format(kind=kind)))
+    read = materialize(spread(rows).mapInArrow(_read, _ENDS.format(kind=kind)))
     files = read.filter(F.col("key").isNull()).drop("key", "total", "ends")
     counted = read.filter(F.col("key").isNotNull()).groupBy("key").agg(F.sum("total").alias("total"), F.sum("ends").alias("ends"))
     counted = materialize(counted)
