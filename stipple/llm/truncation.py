@@ -3,6 +3,8 @@
 One pass reads every file to its end and counts, over the whole corpus, complete words and complete short cues. The end
 of a file is then judged by joins:
 
+* its dialogue, which it leaves open, is a strict prefix of a longer copy (files with one opening, by a hash of fixed
+  length, are sorted, and a value that is a prefix of any other is one of its successor);
 * its last word is a strict prefix of longer words elsewhere and hardly ever stands alone (prefixes of the counted
   words are hashed and joined, so a value finds all longer ones by equality);
 * its last cue is a strict prefix of a cue that occurs elsewhere, or occurs elsewhere itself, which completes it;
@@ -13,7 +15,8 @@ With these go the plain signs of a broken end: a broken character, a broken time
 file that closes its sentences. Marks of an author (trailing off, interruption, sounds, songs, credits) close a file,
 but not at its source's limit where the source adds dots itself.
 
-Scale: texts are read once and never shuffled. The shuffles carry counters of words, of short cues and of
+Scale: texts are read once. Of the dialogue, only that of files which share their opening with an open-ended file is
+shuffled, each different one once, in even ranges. The other shuffles carry counters of words, of short cues and of
 (source, length), pre-aggregated by task. The table of ends has one small row a file; its joins are by word, cue and
 source with length, where one key may hold many files: such a side is one counter a key, so adaptive execution
 broadcasts it by measured size or splits the skewed files.
@@ -27,7 +30,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stipple.llm import subtitles
@@ -35,6 +38,8 @@ from stipple.session import materialize, spread
 
 #: Words of a cue that is counted as a value; counters a task holds before it passes them on.
 SHORT_CUE, HELD = 9, 300_000
+#: Words of an opening by which copies meet.
+OPENING = 8
 #: Share of closed cues from which a file counts as one that closes its sentences.
 CLOSES = 0.2
 #: Lengths pile up where at least PILE files have one, and TIMES as many as lengths within WINDOW have on average.
@@ -52,10 +57,14 @@ _WHOLE_TIME = re.compile(r"^\d{1,3}:\d\d(?::\d\d)?[.,]\d{3}\s*-+>\s*\d{1,3}:\d\d
 
 _ENDS = (
     "key string, total long, ends long, doc {kind}, source string, n_chars long, n_bytes long, broken boolean, head boolean, trail boolean, stop boolean, closes double, "
-    "n_cues int, word string, cue string, aside boolean, print long"
+    "n_cues int, word string, cue string, aside boolean, print long, opening long, body string"
 )
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
 def _ending(text: str, words: Counter, ends: Counter, whole: Counter) -> tuple | None:
     """What the end of a text shows; counts its complete words and cues. None for a blank text."""
     bare = text.rstrip()
@@ -86,19 +95,21 @@ def _ending(text: str, words: Counter, ends: Counter, whole: Counter) -> tuple |
     joined = " ".join(tail.lines)
     folded = tail.words
     words.update(folded[:-1])
+    body = [w for cue in all_cues if not cue.aside for w in cue.words]
+    opening = _hash(" ".join(body[:OPENING])) if len(body) > OPENING else None
     music_open = tail.music and not re.search(r"(?:[♪♫#]|â™ª|Ã¢â„¢Âª)\W*$", joined)
     stop = bool(_STOP.search(joined)) and not music_open
     return (
         len(cut), len(cut.encode()), broken, head, bool(_TRAIL.search(joined)), stop, closed / spoken if spoken else -1.0, spoken,
         folded[-1] if folded else "", " ".join(folded) if len(folded) <= 2 * SHORT_CUE else "", tail.aside and not music_open,
-        int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True),
+        _hash(text), opening, " ".join(body),
     )
 
 
 _COUNTERS = (("key", pa.string()), ("total", pa.int64()), ("ends", pa.int64()))
 _SIGNS = (
     ("n_chars", pa.int64()), ("n_bytes", pa.int64()), ("broken", pa.bool_()), ("head", pa.bool_()), ("trail", pa.bool_()), ("stop", pa.bool_()), ("closes", pa.float64()),
-    ("n_cues", pa.int32()), ("word", pa.string()), ("cue", pa.string()), ("aside", pa.bool_()), ("print", pa.int64()),
+    ("n_cues", pa.int32()), ("word", pa.string()), ("cue", pa.string()), ("aside", pa.bool_()), ("print", pa.int64()), ("opening", pa.int64()), ("body", pa.string()),
 )
 
 
@@ -148,6 +159,22 @@ def _limits(docs: DataFrame) -> DataFrame:
     return piles.select("source", "unit", "n")
 
 
+def strict_prefixes(df: DataFrame, column: str) -> DataFrame:
+    """The distinct non-empty values that are a strict prefix of another value, by characters.
+
+    Values are sorted in ranges; all values between a prefix and a longer one begin with it, so the next value decides.
+    The next value of a range's last one is the first of the next range that has any.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    own = df.filter(F.length(column) > 0).select(column).distinct()
+    ranged = materialize(own.repartitionByRange(n, column).withColumn("_p", F.spark_partition_id()))
+    first = ranged.groupBy("_p").agg(F.min(column).alias("_first"))  # one row a range
+    after = first.select("_p", F.lead("_first").over(Window.orderBy("_p")).alias("_after"))
+    following = F.lead(column).over(Window.partitionBy("_p").orderBy(column))
+    out = ranged.withColumn("_next", following).join(after, "_p", "left")
+    return out.filter(F.coalesce("_next", "_after").startswith(F.col(column))).select(column)
+
+
 def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", debug: bool = False) -> DataFrame:
     """doc_id, source, cut, why: every file that isn't blank, whether it was cut off and by which sign.
 
@@ -157,7 +184,11 @@ def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source
     kind = dict(docs.dtypes)[doc_id]
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(source).alias("source"), F.col(text).alias("text"))
     read = materialize(spread(rows).mapInArrow(_read, _ENDS.format(kind=kind)))
-    files = read.filter(F.col("key").isNull()).drop("key", "total", "ends")
+    files = read.filter(F.col("key").isNull()).drop("key", "total", "ends", "body")
+    bodies = read.filter(F.col("key").isNull() & F.col("opening").isNotNull())
+    open_end = bodies.filter(~F.col("stop") & ~F.col("trail") & ~F.col("aside"))
+    longer_copy = strict_prefixes(bodies.join(open_end.select("opening").distinct(), "opening", "left_semi"), "body")
+    copied = open_end.select("doc", "body").join(longer_copy, "body", "left_semi").select(F.col("doc").alias("_d"), F.lit(True).alias("copied"))
     counted = read.filter(F.col("key").isNotNull()).groupBy("key").agg(F.sum("total").alias("total"), F.sum("ends").alias("ends"))
     counted = materialize(counted)
     # the ends' values and, of counted values, all strict prefixes that are such ends
@@ -177,6 +208,7 @@ def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source
     full = files.join(w, word == F.col("_w"), "left").join(c, cue == F.col("_c"), "left")
     full = full.join(chars, (F.col("source") == F.col("_s1")) & (F.col("n_chars") == F.col("_n1")), "left")
     full = full.join(octets, (F.col("source") == F.col("_s2")) & (F.col("n_bytes") == F.col("_n2")), "left")
+    full = full.join(copied, F.col("doc") == F.col("_d"), "left")
     zero = lambda name: F.coalesce(F.col(name), F.lit(0))
     at_limit = F.col("_n1").isNotNull() | F.col("_n2").isNotNull()
     complete_cue = (zero("c_total") >= 2) & (zero("c_total") >= 0.05 * zero("c_longer"))
@@ -193,6 +225,7 @@ def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source
         .when(part_cue, "part of a cue")
         .when(shut, None)
         .when(at_limit, "limit")
+        .when(F.col("copied"), "prefix of a longer copy")
         .when(F.col("closes") >= CLOSES, "open sentence")
         .when(part_word, "part of a word")
         .when(never_last, "word that ends no cue")

@@ -199,3 +199,23 @@ def test_limits_are_learned_per_source(spark):
     share = {r.source: (r.n_files, r.n_cut) for r in truncation.by_source(truncation.judge(docs)).collect()}
     assert share["long"] == (60, 0) and share["short"][0] == 40 and share["short"][1] >= 36
     assert truncation.judge(docs.limit(0)).collect() == []
+
+
+def test_strict_prefixes(spark):
+    rng = random.Random(9)
+    values = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 9))) for _ in range(300)] + [None, "", "zz", "é", "éa"]
+    got = sorted(r.v for r in truncation.strict_prefixes(spark.createDataFrame([(v, 1) for v in values], "v string, _p int").select("v"), "v").collect())
+    own = {v for v in values if v}
+    assert got == sorted(v for v in own if any(o != v and o.startswith(v) for o in own))
+    assert truncation.strict_prefixes(spark.createDataFrame([], "v string"), "v").collect() == []
+
+
+def test_longer_copies(spark):
+    """Files without any closed sentence, so that only the copy tells."""
+    lines = [f"the marble river{k} forgot the photograph" for k in range(12)]
+    whole = srt(*lines)
+    cut = srt(*lines[:5], "the marble river5 forgot")
+    other = srt(*(f"a fiddle{k} polished the old theater" for k in range(9)))
+    got = judged(spark, [(whole, "a"), (cut.replace("\n", "\r\n"), "b"), (other, "c")] + [(whole, "d")] * 5)
+    assert got[1] == "prefix of a longer copy"
+    assert [got[i] for i in (0, 2, 3, 7)] == [None] * 4
