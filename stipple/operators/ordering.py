@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stipple.functions import text as ft
+from stipple.session import materialize
 
 
 def dense_ids(df: DataFrame, order: Sequence[str], *, name: str = "new_id", parts: int | None = None) -> DataFrame:
     """1, 2, 3... in the order of a key that is unique. Range partitions are numbered by themselves; only their sizes meet.
 
-    Null keys come first. The order column decides, never the rows' place in a file.
+    Null keys come first. The order column decides, never the rows' place in a file. The ranges are written once, so
+    that the sizes and the numbers are of the same ranges even if a lost task is run again.
     """
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    ranged = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
+    ranged = materialize(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
     w = Window.partitionBy("_p").orderBy(*order)
     own = ranged.withColumn("_rn", F.row_number().over(w))
     sizes = own.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # one row a partition

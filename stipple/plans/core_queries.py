@@ -380,13 +380,13 @@ def pip_join(spark, d):
 
 @query()
 def pip_join_expanded(spark, d):
-    """With regions grown by 1; tested against brute force."""
+    """With regions grown by 1."""
     return spatial.assign_regions(_mol(spark, d).select("mol_id", "x", "y"), load(spark, d, "cell_polygons"), expand=1.0, unassigned="UNASSIGNED").select("mol_id", "cell")
 
 
 @query()
 def raster_join(spark, d):
-    """By a grid of cells that are in exactly one region; tested against brute force."""
+    """By a grid of cells that are in exactly one region."""
     return spatial.assign_by_raster(_mol(spark, d).select("mol_id", "x", "y"), load(spark, d, "cell_polygons"), 1.0).select("mol_id", "cell")
 
 
@@ -616,9 +616,10 @@ def topk_argmax(spark, d):
     return ordering.argmax_columns(load(spark, d, "de_entries"), ["chi2", "fc", "log10p"]).select("entry_id", "topP", "topK")
 
 
-@query("SELECT pix_id, factors[1:2] AS factors, probs[1:2] AS probs FROM pixel_factors")
+@query("SELECT pix_id, CAST(k - 1 AS INTEGER) AS pos, factors[k] AS factor, probs[k] AS prob FROM pixel_factors, (VALUES (1), (2)) t(k) WHERE k <= len(factors)")
 def first_k_entries(spark, d):
-    return ordering.first_k(load(spark, d, "pixel_factors").select("pix_id", "factors", "probs"), ["factors", "probs"], 2)
+    rows = ordering.first_k(load(spark, d, "pixel_factors").select("pix_id", "factors", "probs"), ["factors", "probs"], 2)
+    return rows.select("pix_id", F.posexplode(F.arrays_zip("factors", "probs")).alias("pos", "z")).select("pix_id", "pos", F.col("z.factors").alias("factor"), F.col("z.probs").alias("prob"))
 
 
 @query("SELECT count(*) = 0 AS sorted FROM (SELECT lag(read_at) OVER (ORDER BY rec_id) AS p, read_at FROM sbcd_recs) WHERE p > read_at")
@@ -713,11 +714,11 @@ def log_sums(spark, d):
 
 @query(
     "WITH p AS (SELECT pix_id, probs, list_sum(probs) AS s FROM pixel_factors WHERE probs IS NOT NULL AND list_count(probs) = len(probs) AND len(list_filter(probs, lambda v: isnan(v))) = 0 AND len(probs) > 0) "
-    f"SELECT pix_id, list_transform(CASE WHEN abs(s - 1) > 1e-5 THEN list_transform(probs, lambda v: (v + 1e-20::DOUBLE) / (s + len(probs) * 1e-20::DOUBLE)) ELSE probs END, lambda v: {_CUT.format('v')}) AS probs FROM p"
+    f", v AS (SELECT pix_id, probs, s, unnest(range(1, len(probs) + 1)) AS k FROM p) SELECT pix_id, CAST(k - 1 AS INTEGER) AS pos, {_CUT.format('CASE WHEN abs(s - 1) > 1e-5 THEN (probs[k] + 1e-20::DOUBLE) / (s + len(probs) * 1e-20::DOUBLE) ELSE probs[k] END')} AS prob FROM v"
 )
 def renormalized(spark, d):
     rows = load(spark, d, "pixel_factors").filter("probs IS NOT NULL AND size(probs) > 0 AND NOT exists(probs, v -> v IS NULL OR isnan(v))")
-    return rows.select("pix_id", F.transform(stats.renormalize(F.col("probs")), lambda v: fixed(v)).alias("probs"))
+    return rows.select("pix_id", F.posexplode(stats.renormalize(F.col("probs"))).alias("pos", "p")).select("pix_id", "pos", fixed(F.col("p")).alias("prob"))
 
 
 # --- sequence functions ----------------------------------------------------------------------------------------------
@@ -770,9 +771,37 @@ def gene_colors(spark, d):
 @query(
     "WITH c AS (SELECT gene AS feature, CAST(floor(x / 50) AS BIGINT) AS cell_id, sum(count) AS cnt FROM " + _GOOD + " WHERE gene IS NOT NULL GROUP BY ALL), "
     "f AS (SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS idx FROM (SELECT DISTINCT feature FROM c)) "
-    "SELECT cell_id, CAST(count(*) AS INTEGER) AS n_genes, CAST(sum(cnt) AS BIGINT) AS n_mols, list(idx ORDER BY idx) AS idx, list(CAST(cnt AS BIGINT) ORDER BY idx) AS cnt FROM c JOIN f USING (feature) GROUP BY cell_id"
+    "SELECT cell_id, CAST(count(*) AS INTEGER) AS n_genes, CAST(sum(cnt) AS BIGINT) AS n_mols, string_agg(CAST(idx AS VARCHAR) || ' ' || CAST(CAST(cnt AS BIGINT) AS VARCHAR), chr(9) ORDER BY idx) AS pairs FROM c JOIN f USING (feature) GROUP BY cell_id"
 )
 def sparse_rows(spark, d):
     long = _good(spark, d).filter("gene IS NOT NULL").select(F.col("gene").alias("feature"), F.floor(F.col("x") / 50).alias("cell_id"), F.col("count").alias("cnt"))
     names = ordering.dense_ids(long.select("feature").distinct(), ["feature"], name="idx").withColumn("idx", F.col("idx") - 1)
-    return matrices.sparse_rows(long, names, ["cell_id"]).drop("random_key")
+    rows = matrices.sparse_rows(long, names, ["cell_id"])
+    pairs = F.array_join(F.zip_with("idx", "cnt", lambda i, c: F.concat_ws(" ", i.cast("string"), c.cast("string"))), "\t")
+    return rows.select("cell_id", "n_genes", "n_mols", pairs.alias("pairs"))
+
+
+_SHAPES = """r AS (SELECT poly_id, xs, ys FROM cell_polygons WHERE len(xs) = len(ys) AND len(xs) >= 3),
+e AS (SELECT poly_id, xs[k] AS x1, ys[k] AS y1, xs[k % len(xs) + 1] AS x2, ys[k % len(xs) + 1] AS y2 FROM (SELECT *, unnest(range(1, len(xs) + 1)) AS k FROM r)),
+b AS (SELECT poly_id, list_min(xs) AS x1, list_max(xs) AS x2, list_min(ys) AS y1, list_max(ys) AS y2 FROM r)"""
+
+ORACLES["raster_join"] = f"""WITH {_SHAPES},
+h AS (SELECT poly_id, x1, x2, unnest(range(CAST(floor(y1) AS BIGINT), CAST(floor(y2) AS BIGINT) + 1)) AS j FROM b),
+g AS (SELECT poly_id, j, unnest(range(CAST(floor(x1) AS BIGINT), CAST(floor(x2) AS BIGINT) + 1)) AS i FROM h),
+o AS (SELECT g.poly_id, i, j FROM g JOIN e ON g.poly_id = e.poly_id AND (e.y1 > j + 0.5::DOUBLE) <> (e.y2 > j + 0.5::DOUBLE)
+  AND i + 0.5::DOUBLE < (e.x2 - e.x1) * (j + 0.5::DOUBLE - e.y1) / nullif(e.y2 - e.y1, 0) + e.x1 GROUP BY ALL HAVING count(*) % 2 = 1),
+c AS (SELECT i, j, min(poly_id) AS cell FROM o GROUP BY i, j HAVING count(*) = 1)
+SELECT mol_id, coalesce(CAST(cell AS VARCHAR), 'UNASSIGNED') AS cell
+FROM (SELECT mol_id, CASE WHEN NOT isnan(x) THEN floor(x) END AS i, CASE WHEN NOT isnan(y) THEN floor(y) END AS j FROM molecules) LEFT JOIN c USING (i, j)"""
+
+ORACLES["pip_join_expanded"] = (
+    _PIP
+    + """, z AS (SELECT i.id, i.poly_id, (x - list_sum(xs) / len(xs)) * (x - list_sum(xs) / len(xs)) + (y - list_sum(ys) / len(ys)) * (y - list_sum(ys) / len(ys)) AS d FROM i JOIN o USING (poly_id)),
+a AS (SELECT id, arg_min(poly_id, (d, poly_id)) AS cell FROM z GROUP BY id),
+n AS (SELECT p.id, p.x, p.y, b.poly_id FROM p JOIN b ON p.x BETWEEN b.x1 - 1 AND b.x2 + 1 AND p.y BETWEEN b.y1 - 1 AND b.y2 + 1 WHERE p.id NOT IN (SELECT id FROM a)),
+t AS (SELECT n.id, n.poly_id, x, y, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy,
+  greatest(0::DOUBLE, least(1::DOUBLE, coalesce(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / nullif((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1), 0), 0))) AS t FROM n JOIN e USING (poly_id)),
+s AS (SELECT id, poly_id, (x - (x1 + t * dx)) * (x - (x1 + t * dx)) + (y - (y1 + t * dy)) * (y - (y1 + t * dy)) AS d FROM t),
+u AS (SELECT id, arg_min(poly_id, (d, poly_id)) AS cell FROM s WHERE d <= 1 GROUP BY id)
+SELECT mol_id, coalesce(CAST(a.cell AS VARCHAR), CAST(u.cell AS VARCHAR), 'UNASSIGNED') AS cell FROM molecules LEFT JOIN a ON mol_id = a.id LEFT JOIN u ON mol_id = u.id"""
+)
