@@ -3,8 +3,8 @@
 One pass reads every file to its end and counts, over the whole corpus, complete words and complete short cues. The end
 of a file is then judged by joins:
 
-* its dialogue, which it leaves open, is a strict prefix of a longer copy (files with one opening, by a hash of fixed
-  length, are sorted, and a value that is a prefix of any other is one of its successor);
+* its dialogue, which it leaves open, is a strict prefix of a longer copy (files meet by a hash of their opening, and
+  longer ones are hashed at the lengths of the open ones);
 * its last word is a strict prefix of longer words elsewhere and hardly ever stands alone (prefixes of the counted
   words are hashed and joined, so a value finds all longer ones by equality);
 * its last cue is a strict prefix of a cue that occurs elsewhere, or occurs elsewhere itself, which completes it;
@@ -15,8 +15,8 @@ With these go the plain signs of a broken end: a broken character, a broken time
 file that closes its sentences. Marks of an author (trailing off, interruption, sounds, songs, credits) close a file,
 but not at its source's limit where the source adds dots itself.
 
-Scale: texts are read once. Of the dialogue, only that of files which share their opening with an open-ended file is
-shuffled, each different one once, in even ranges. The other shuffles carry counters of words, of short cues and of
+Scale: texts are read once and their dialogue written once. It meets the openings of open-ended files, a small side that
+adaptive execution broadcasts by its measured size; beyond that size the join shuffles it. The other shuffles carry counters of words, of short cues and of
 (source, length), pre-aggregated by task. The table of ends has one small row a file; its joins are by word, cue and
 source with length, where one key may hold many files: such a side is one counter a key, so adaptive execution
 broadcasts it by measured size or splits the skewed files.
@@ -30,7 +30,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stipple.llm import subtitles
@@ -159,20 +159,19 @@ def _limits(docs: DataFrame) -> DataFrame:
     return piles.select("source", "unit", "n")
 
 
-def strict_prefixes(df: DataFrame, column: str) -> DataFrame:
-    """The distinct non-empty values that are a strict prefix of another value, by characters.
+def strict_prefixes(short: DataFrame, long: DataFrame, key: str, value: str) -> DataFrame:
+    """The distinct (key, value) of ``short`` whose value is a strict prefix, by characters, of a ``long`` value with its key.
 
-    Values are sorted in ranges; all values between a prefix and a longer one begin with it, so the next value decides.
-    The next value of a range's last one is the first of the next range that has any.
+    The lengths that occur in ``short`` go to the long values of their key, which are hashed at these lengths only; hashes
+    then meet by equality. No two texts are compared, and no group of copies is gathered: what a key collects are
+    different lengths, at most as many as a text has characters. Null keys and null or empty values take no part.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    own = df.filter(F.length(column) > 0).select(column).distinct()
-    ranged = materialize(own.repartitionByRange(n, column).withColumn("_p", F.spark_partition_id()))
-    first = ranged.groupBy("_p").agg(F.min(column).alias("_first"))  # one row a range
-    after = first.select("_p", F.lead("_first").over(Window.orderBy("_p")).alias("_after"))
-    following = F.lead(column).over(Window.partitionBy("_p").orderBy(column))
-    out = ranged.withColumn("_next", following).join(after, "_p", "left")
-    return out.filter(F.coalesce("_next", "_after").startswith(F.col(column))).select(column)
+    own = short.filter(F.col(key).isNotNull() & (F.length(value) > 0)).select(key, value).distinct()
+    own = own.withColumns({"_n": F.length(value), "_h": F.xxhash64(value)})
+    lengths = own.groupBy(key).agg(F.collect_set("_n").alias("_all"))
+    at = F.explode(F.filter("_all", lambda n: n < F.length(value)))
+    heads = long.select(key, value).join(lengths, key).select(key, value, at.alias("_n")).select(key, "_n", F.xxhash64(F.substring(F.col(value), F.lit(1), F.col("_n"))).alias("_h"))
+    return own.join(heads, [key, "_n", "_h"], "left_semi").select(key, value)
 
 
 def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", debug: bool = False) -> DataFrame:
@@ -187,8 +186,8 @@ def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source
     files = read.filter(F.col("key").isNull()).drop("key", "total", "ends", "body")
     bodies = read.filter(F.col("key").isNull() & F.col("opening").isNotNull())
     open_end = bodies.filter(~F.col("stop") & ~F.col("trail") & ~F.col("aside"))
-    longer_copy = strict_prefixes(bodies.join(open_end.select("opening").distinct(), "opening", "left_semi"), "body")
-    copied = open_end.select("doc", "body").join(longer_copy, "body", "left_semi").select(F.col("doc").alias("_d"), F.lit(True).alias("copied"))
+    longer_copy = strict_prefixes(open_end, bodies, "opening", "body")
+    copied = open_end.select("doc", "opening", "body").join(longer_copy, ["opening", "body"], "left_semi").select(F.col("doc").alias("_d"), F.lit(True).alias("copied"))
     counted = read.filter(F.col("key").isNotNull()).groupBy("key").agg(F.sum("total").alias("total"), F.sum("ends").alias("ends"))
     counted = materialize(counted)
     # the ends' values and, of counted values, all strict prefixes that are such ends

@@ -203,11 +203,12 @@ def test_limits_are_learned_per_source(spark):
 
 def test_strict_prefixes(spark):
     rng = random.Random(9)
-    values = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 9))) for _ in range(300)] + [None, "", "zz", "é", "éa"]
-    got = sorted(r.v for r in truncation.strict_prefixes(spark.createDataFrame([(v, 1) for v in values], "v string, _p int").select("v"), "v").collect())
-    own = {v for v in values if v}
-    assert got == sorted(v for v in own if any(o != v and o.startswith(v) for o in own))
-    assert truncation.strict_prefixes(spark.createDataFrame([], "v string"), "v").collect() == []
+    draw = lambda: (rng.choice(["k", "l"]), "".join(rng.choice("ab") for _ in range(rng.randint(0, 9))))
+    short, long = [draw() for _ in range(200)] + [(None, "a"), ("k", None), ("k", "é")], [draw() for _ in range(90)] + [("k", "éa"), (None, "ab")]
+    df = lambda rows: spark.createDataFrame([(*r, 1) for r in rows], "key string, v string, _n int")
+    got = sorted(tuple(r) for r in truncation.strict_prefixes(df(short), df(long), "key", "v").collect())
+    assert got == sorted({(k, v) for k, v in short if k and v and any(o == k and w != v and w.startswith(v) for o, w in long)})
+    assert truncation.strict_prefixes(df([]), df(long), "key", "v").collect() == []
 
 
 def test_longer_copies(spark):
