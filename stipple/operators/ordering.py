@@ -87,9 +87,11 @@ def by_total(df: DataFrame, name: str, count: str) -> DataFrame:
 
 
 def numeric_aware_rank(df: DataFrame, column: str, *, name: str = "rank") -> DataFrame:
-    """Distinct values with their place: all-digit ones by value before the others by bytes."""
+    """Distinct values with their place from 1: all-digit ones by value before the others by bytes, numbered by ranges."""
     own = df.select(column).distinct().filter(F.col(column).isNotNull())
-    return own.withColumn(name, F.row_number().over(Window.orderBy(*ft.numeric_order(F.col(column)))))
+    own = own.withColumn("_text", F.when(ft.is_digits(F.col(column)), 0).otherwise(1))
+    own = own.withColumn("_number", F.when(F.col("_text") == 0, F.col(column).try_cast("decimal(38,0)")))
+    return dense_ids(own, ["_text", "_number", column], name=name).select(column, F.col(name).cast("int").alias(name))
 
 
 def argmax_columns(df: DataFrame, columns: Sequence[str], *, top_k: str = "topK", top_p: str = "topP") -> DataFrame:
