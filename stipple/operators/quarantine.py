@@ -51,13 +51,15 @@ def parse_lines(df: DataFrame, layouts: dict[str, Layout], *, kind: str = "kind"
     the layout has), 'value' (a field breaks its type). A null line is an empty one; a null or unknown kind fits no
     number of columns. Existing columns stay, except ones named errors or fields.
     """
-    clean = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(line), F.lit("")), r"\r\z", ""), "\\A\ufeff", "")
-    out = df.withColumn("_clean", clean)
+    text = F.coalesce(F.col(line), F.lit(""))
+    text = F.when(text.endswith("\r"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    out = df.withColumn("_clean", F.when(text.startswith("\ufeff"), F.substring(text, F.lit(2), F.length(text))).otherwise(text))
+    plain = F.instr("_clean", '"') == 0  # most lines have no quote and need no pattern
+    out = out.withColumn("_good", plain | F.col("_clean").rlike(rf"\A{_FIELD}(?:\t{_FIELD})*+\z"))
     # a tab before every field makes each match non-empty
-    good = F.col("_clean").rlike(rf"\A{_FIELD}(?:\t{_FIELD})*+\z")
-    raw = F.when(F.instr("_clean", '"') == 0, F.split("_clean", "\t")).otherwise(F.regexp_extract_all(F.concat(F.lit("\t"), F.col("_clean")), F.lit(rf"\t({_FIELD})"), F.lit(1)))
+    raw = F.regexp_extract_all(F.concat(F.lit("\t"), F.col("_clean")), F.lit(rf"\t({_FIELD})"), F.lit(1))
     unquoted = F.transform(raw, lambda v: F.when(v.startswith('"'), F.replace(F.substring(v, F.lit(2), F.length(v) - 2), F.lit('""'), F.lit('"'))).otherwise(v))
-    out = out.withColumn("fields", F.when(good, unquoted))
+    out = out.withColumn("fields", F.when(plain, F.split("_clean", "\t")).when(F.col("_good"), unquoted))
     wanted, values = F.lit(None).cast("int"), F.lit(False)
     for name, layout in layouts.items():
         wanted = F.when(F.col(kind) == name, len(layout.fields)).otherwise(wanted)
@@ -67,8 +69,9 @@ def parse_lines(df: DataFrame, layouts: dict[str, Layout], *, kind: str = "kind"
         for i, how in enumerate(layout.fields.values()):
             ok = ok & F.coalesce(_valid(F.get("fields", F.lit(i)), how), F.lit(False))
         values = F.when(F.col(kind) == name, ~ok).otherwise(values)
-    errors = F.array_compact(F.array(F.when(~good, F.lit("quoting")), F.when(good & ~fits, F.lit("columns")), F.when(good & fits & values, F.lit("value"))))
-    return out.withColumn("errors", errors).drop("_clean")
+    reason = F.when(~F.col("_good"), "quoting").when(~fits, "columns").when(values, "value")
+    errors = F.array_compact(F.array(reason))
+    return out.withColumn("errors", errors).drop("_clean", "_good")
 
 
 def rejected(parsed: DataFrame) -> DataFrame:
