@@ -11,8 +11,8 @@ of a file is then judged by joins:
 * its length is one at which its source's files pile up: a length limit in characters or bytes, or a multiple of a
   block size.
 
-With these go the plain signs of a broken end: a broken character, a broken time line, a last sentence left open in a
-file that closes its sentences. Marks of an author (trailing off, interruption, sounds, songs, credits) close a file,
+With these go the plain signs of a broken end: a broken character, a broken time line, a speaker's dash without a word
+behind it, a last sentence left open in a file that closes its sentences. Marks of an author (trailing off, interruption, sounds, songs, credits) close a file,
 but not at its source's limit where the source adds dots itself.
 
 Scale: texts are read once and their dialogue written once. It meets the openings of open-ended files, a small side that
@@ -50,6 +50,9 @@ TAILS, TAIL_SHARE = 4, 0.2
 ENDS, FREQUENT, PART = 0.01, 100, 0.02
 
 _TRAIL = re.compile(r"(?:\.\.+|…|--+|[-–—―]|â€¦|â€”|â€“|Ã¢â‚¬Â¦|Ã¢â‚¬â€.?)[\s\"'»”’*_]*$")
+#: A speaker's dash without any word behind it: alone on a line, or behind a closed sentence. No author ends a cue so.
+_DASH = r"(?:[-–—―]|â€”|â€“)[\s\"'«“‘¿¡]*$"
+_LONE_DASH, _NEXT_DASH = re.compile("^" + _DASH), re.compile(r"[.!?…)\]♪\"»”]\s+" + _DASH)
 _STOP = re.compile(r"[.!?\])}♪♫#*]['\"»”’*_]*$|â™ª$|Ã¢â„¢Âª$")
 _SENTENCE = re.compile(r"[.!?…]['\"»”’]*$")
 _PART_TIME = re.compile(r"^\d{1,3}(?::\d{0,2}){1,2}(?:[.,]\d{0,3})?(?:\s*-*>?\s*(?:\d{1,3}(?::\d{0,2}){0,2}(?:[.,]\d{0,2})?)?)?$")
@@ -97,10 +100,11 @@ def _ending(text: str, words: Counter, ends: Counter, whole: Counter) -> tuple |
     words.update(folded[:-1])
     body = [w for cue in all_cues if not cue.aside for w in cue.words]
     opening = _hash(" ".join(body[:OPENING])) if len(body) > OPENING else None
+    turn = bool(tail.lines) and bool(_LONE_DASH.search(tail.lines[-1]) or _NEXT_DASH.search(joined))
     music_open = tail.music and not re.search(r"(?:[♪♫#]|â™ª|Ã¢â„¢Âª)\W*$", joined)
     stop = bool(_STOP.search(joined)) and not music_open
     return (
-        len(cut), len(cut.encode()), broken, head, bool(_TRAIL.search(joined)), stop, closed / spoken if spoken else -1.0, spoken,
+        len(cut), len(cut.encode()), broken, head or turn, bool(_TRAIL.search(joined)), stop, closed / spoken if spoken else -1.0, spoken,
         folded[-1] if folded else "", " ".join(folded) if len(folded) <= 2 * SHORT_CUE else "", tail.aside and not music_open,
         _hash(text), opening, " ".join(body),
     )

@@ -220,3 +220,13 @@ def test_longer_copies(spark):
     got = judged(spark, [(whole, "a"), (cut.replace("\n", "\r\n"), "b"), (other, "c")] + [(whole, "d")] * 5)
     assert got[1] == "prefix of a longer copy"
     assert [got[i] for i in (0, 2, 3, 7)] == [None] * 4
+
+
+def test_cut_after_a_speakers_dash(spark):
+    """A dash that opens a speaker's turn is no author's mark; one behind a word is."""
+    last = srt(*SENTENCES) + "\n4\n00:01:00,000 --> 00:01:04,100\n"
+    cut = [last + "- ", last + "-\n", last + "- The marble river.\n- ", last + "- the marble river\n–", last + "- The marble river. - ", last + "<i>—", last + "- The marble river!\r\n- \"", last + "- The river\nâ€“ "]
+    fine = [last + "The marble river-", last + "The marble river -", last + "What?-", last + "Well, —", last + "The marble river\n--", last + "- The river.\n- The marble -"]
+    got = judged(spark, [(t, None) for t in cut + fine])
+    assert [got[i] for i in range(len(cut))] == ["broken cue head"] * len(cut)
+    assert [got[i] for i in range(len(cut), len(cut + fine))] == [None] * len(fine)
