@@ -1,13 +1,14 @@
 """Subtitle files that were cut off: prefix joins of their ends with complete values elsewhere, and limits of the sources.
 
-One pass reads every file to its end and counts, over the whole corpus, complete words and complete short cues. The end
-of a file is then judged by joins:
+One pass reads every file to its end and counts, over the whole corpus, complete words and complete short cues without
+closing punctuation. The end of a file is then judged by joins:
 
 * its dialogue, which it leaves open, is a strict prefix of a longer copy (files meet by a hash of their opening, and
   longer ones are hashed at the lengths of the open ones);
 * its last word is a strict prefix of longer words elsewhere and hardly ever stands alone (prefixes of the counted
   words are hashed and joined, so a value finds all longer ones by equality);
-* its last cue is a strict prefix of a cue that occurs elsewhere, or occurs elsewhere itself, which completes it;
+* its last cue, if it is an aside, is a strict prefix of a short cue without closing punctuation that occurs elsewhere;
+  any last cue that occurs elsewhere itself, or ends many files, is complete;
 * its length is one at which its source's files pile up: a length limit in characters or bytes, or a multiple of a
   block size.
 
