@@ -3,8 +3,9 @@
 One pass reads every file to its end and counts, over the whole corpus, complete words and complete short cues without
 closing punctuation. The end of a file is then judged by joins:
 
-* its dialogue, which it leaves open, is a strict prefix of a longer copy (files meet by a hash of their opening, and
-  longer ones are hashed at the lengths of the open ones);
+* its dialogue is a strict prefix of a longer copy (files meet by a hash of their opening, short ones by their first
+  word, and longer ones are hashed at the lengths of the others): the copy goes on in the same cue, so the end was a cut,
+  or in a new one only, so the last cue is complete;
 * its last word is a strict prefix of longer words elsewhere and hardly ever stands alone (prefixes of the counted
   words are hashed and joined, so a value finds all longer ones by equality);
 * its last cue, if it is an aside, is a strict prefix of a short cue without closing punctuation that occurs elsewhere;
@@ -16,8 +17,8 @@ With these go the plain signs of a broken end: a broken character, a broken time
 behind it, a last sentence left open in a file that closes its sentences. Marks of an author (trailing off, interruption, sounds, songs, credits) close a file,
 but not at its source's limit where the source adds dots itself.
 
-Scale: texts are read once and their dialogue written once. It meets the openings of open-ended files, a small side that
-adaptive execution broadcasts by its measured size; beyond that size the join shuffles it. The other shuffles carry counters of words, of short cues and of
+Scale: texts are read once and their dialogue written once. It is shuffled once at most, to meet the openings that different
+dialogues share; only those are compared. Short files meet the first words of all. The other shuffles carry counters of words, of short cues and of
 (source, length), pre-aggregated by task. The table of ends has one small row a file; its joins are by word, cue and
 source with length, where one key may hold many files: such a side is one counter a key, so adaptive execution
 broadcasts it by measured size or splits the skewed files.
@@ -61,7 +62,7 @@ _WHOLE_TIME = re.compile(r"^\d{1,3}:\d\d(?::\d\d)?[.,]\d{3}\s*-+>\s*\d{1,3}:\d\d
 
 _ENDS = (
     "key string, total long, ends long, doc {kind}, source string, n_chars long, n_bytes long, broken boolean, head boolean, trail boolean, stop boolean, closes double, "
-    "n_cues int, word string, cue string, aside boolean, print long, opening long, body string"
+    "n_cues int, word string, cue string, aside boolean, print long, opening long, body string, starts array<int>, halts array<int>"
 )
 
 
@@ -69,6 +70,31 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
+def _body(all_cues: list[subtitles.Cue]) -> tuple[list[str], list[int], list[int]]:
+    """The words of the dialogue, where later cues start in them joined by blanks, and where marks in them close a sentence or trail off."""
+    words, starts, halts, at = [], [], [], 0
+    for cue in all_cues:
+        if cue.aside or not cue.words:
+            continue
+        if words:
+            starts.append(at)
+        raw: list[str] = []
+        for word in " ".join(cue.lines).split():
+            if subtitles.fold(word):
+                raw.append(word)
+            elif raw:
+                raw[-1] += " " + word  # a mark apart from its word
+        raw = raw[-len(cue.words) :]  # without a speaker's label
+        end = at - 1
+        for folded, word in zip(cue.words, raw):
+            end += len(folded) + 1
+            if not word[-1].isalnum() and (_STOP.search(word) or _TRAIL.search(word)) and subtitles.fold(word.split()[0]) == folded:
+                halts.append(end)
+        words += cue.words
+        at += sum(map(len, cue.words)) + len(cue.words)
+    return words, starts, halts
+
+
 def _ending(text: str, words: Counter, ends: Counter, whole: Counter) -> tuple | None:
     """What the end of a text shows; counts its complete words and cues. None for a blank text."""
     bare = text.rstrip()
@@ -99,7 +125,12 @@ def _ending(text: str, words: Counter, ends: Counter, whole: Counter) -> tuple |
     joined = " ".join(tail.lines)
     folded = tail.words
     words.update(folded[:-1])
-    body = [w for cue in all_cues if not cue.aside for w in cue.words]
+    said = all_cues
+    if head and not _WHOLE_TIME.match(last):  # the next cue's number and times are no words of the last one
+        while lines and (lines[-1].strip() == last or not lines[-1].strip() or lines[-1].strip().isdigit()):
+            lines.pop()
+        said = subtitles.cues("\n".join(lines))
+    body, starts, halts = _body(said)
     opening = _hash(" ".join(body[:OPENING])) if len(body) > OPENING else None
     turn = bool(tail.lines) and bool(_LONE_DASH.search(tail.lines[-1]) or _NEXT_DASH.search(joined))
     music_open = tail.music and not re.search(r"(?:[♪♫#]|â™ª|Ã¢â„¢Âª)\W*$", joined)
@@ -107,7 +138,7 @@ def _ending(text: str, words: Counter, ends: Counter, whole: Counter) -> tuple |
     return (
         len(cut), len(cut.encode()), broken, head or turn, bool(_TRAIL.search(joined)), stop, closed / spoken if spoken else -1.0, spoken,
         folded[-1] if folded else "", " ".join(folded) if len(folded) <= 2 * SHORT_CUE else "", tail.aside and not music_open,
-        _hash(text), opening, " ".join(body),
+        _hash(text), opening, " ".join(body), starts, halts,
     )
 
 
@@ -115,6 +146,7 @@ _COUNTERS = (("key", pa.string()), ("total", pa.int64()), ("ends", pa.int64()))
 _SIGNS = (
     ("n_chars", pa.int64()), ("n_bytes", pa.int64()), ("broken", pa.bool_()), ("head", pa.bool_()), ("trail", pa.bool_()), ("stop", pa.bool_()), ("closes", pa.float64()),
     ("n_cues", pa.int32()), ("word", pa.string()), ("cue", pa.string()), ("aside", pa.bool_()), ("print", pa.int64()), ("opening", pa.int64()), ("body", pa.string()),
+    ("starts", pa.list_(pa.int32())), ("halts", pa.list_(pa.int32())),
 )
 
 
@@ -164,19 +196,48 @@ def _limits(docs: DataFrame) -> DataFrame:
     return piles.select("source", "unit", "n")
 
 
-def strict_prefixes(short: DataFrame, long: DataFrame, key: str, value: str) -> DataFrame:
+def strict_prefixes(short: DataFrame, long: DataFrame, key: str, value: str, starts: str | None = None, halts: str | None = None) -> DataFrame:
     """The distinct (key, value) of ``short`` whose value is a strict prefix, by characters, of a ``long`` value with its key.
 
     The lengths that occur in ``short`` go to the long values of their key, which are hashed at these lengths only; hashes
     then meet by equality. No two texts are compared, and no group of copies is gathered: what a key collects are
     different lengths, at most as many as a text has characters. Null keys and null or empty values take no part.
+    With ``starts`` and ``halts`` of the long values, positions where cues start and sentences end, it is also told how
+    any of them goes on: in_word, in_cue (with a new word), new_cue, and whether one ends a sentence there: halted.
     """
     own = short.filter(F.col(key).isNotNull() & (F.length(value) > 0)).select(key, value).distinct()
     own = own.withColumns({"_n": F.length(value), "_h": F.xxhash64(value)})
     lengths = own.groupBy(key).agg(F.collect_set("_n").alias("_all"))
     at = F.explode(F.filter("_all", lambda n: n < F.length(value)))
-    heads = long.select(key, value).join(lengths, key).select(key, value, at.alias("_n")).select(key, "_n", F.xxhash64(F.substring(F.col(value), F.lit(1), F.col("_n"))).alias("_h"))
-    return own.join(heads, [key, "_n", "_h"], "left_semi").select(key, value)
+    more = [c for c in (starts, halts) if c]
+    heads = long.select(key, value, *more).join(lengths, key).select(key, value, *more, at.alias("_n"))
+    head = F.xxhash64(F.substring(F.col(value), F.lit(1), F.col("_n"))).alias("_h")
+    if not more:
+        return own.join(heads.select(key, "_n", head), [key, "_n", "_h"], "left_semi").select(key, value)
+    blank, new = F.substring(F.col(value), F.col("_n") + 1, F.lit(1)) == " ", F.array_contains(starts, F.col("_n") + 1)
+    goes_on = {"in_word": ~blank, "in_cue": blank & ~new, "new_cue": blank & new, "halted": blank & ~new & F.array_contains(halts, F.col("_n"))}
+    heads = heads.select(key, "_n", head, *(c.alias(k) for k, c in goes_on.items()))
+    heads = heads.groupBy(key, "_n", "_h").agg(*(F.bool_or(k).alias(k) for k in goes_on))
+    return own.join(heads, [key, "_n", "_h"]).select(key, value, *goes_on)
+
+
+def _copies(bodies: DataFrame) -> DataFrame:
+    """_d, in_word, in_cue, new_cue, halted: the files whose dialogue is a strict prefix of another's, and how any such goes on.
+
+    Files of more than OPENING words meet where they share their opening, all others by their first word. A single word
+    that is only the beginning of another's first word says nothing about copies and is left to the words.
+    """
+    openings = bodies.filter("opening IS NOT NULL").select("opening", F.xxhash64("body").alias("h")).groupBy("opening").agg(F.min("h").alias("a"), F.max("h").alias("b"))
+    shared = materialize(bodies.join(openings.filter("a != b"), "opening", "left_semi").select("doc", "opening", "body", "starts", "halts"))
+    flags = ["in_word", "in_cue", "new_cue", "halted"]
+    far = shared.join(strict_prefixes(shared, shared, "opening", "body", "starts", "halts"), ["opening", "body"])
+    # a short body ends within the first OPENING words of a copy
+    first = F.substring_index("body", " ", 1).alias("first")
+    heads = bodies.select(first, F.substring_index("body", " ", OPENING + 1).alias("body"), "starts", "halts")
+    heads = heads.select("first", "body", F.filter("starts", lambda p: p <= F.length("body")).alias("starts"), F.filter("halts", lambda p: p <= F.length("body")).alias("halts")).distinct()
+    few = bodies.filter("opening IS NULL").select("doc", first, "body")
+    near = few.join(strict_prefixes(few, heads, "first", "body", "starts", "halts"), ["first", "body"])
+    return far.select(F.col("doc").alias("_d"), *flags).unionByName(near.select(F.col("doc").alias("_d"), *flags))
 
 
 def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", debug: bool = False) -> DataFrame:
@@ -188,11 +249,8 @@ def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source
     kind = dict(docs.dtypes)[doc_id]
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(source).alias("source"), F.col(text).alias("text"))
     read = materialize(spread(rows).mapInArrow(_read, _ENDS.format(kind=kind)))
-    files = read.filter(F.col("key").isNull()).drop("key", "total", "ends", "body")
-    bodies = read.filter(F.col("key").isNull() & F.col("opening").isNotNull())
-    open_end = bodies.filter(~F.col("stop") & ~F.col("trail") & ~F.col("aside"))
-    longer_copy = strict_prefixes(open_end, bodies, "opening", "body")
-    copied = open_end.select("doc", "opening", "body").join(longer_copy, ["opening", "body"], "left_semi").select(F.col("doc").alias("_d"), F.lit(True).alias("copied"))
+    files = read.filter(F.col("key").isNull()).drop("key", "total", "ends", "body", "starts", "halts")
+    copies = _copies(read.filter(F.col("key").isNull() & (F.col("body") != "")))
     counted = read.filter(F.col("key").isNotNull()).groupBy("key").agg(F.sum("total").alias("total"), F.sum("ends").alias("ends"))
     counted = materialize(counted)
     # the ends' values and, of counted values, all strict prefixes that are such ends
@@ -212,7 +270,7 @@ def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source
     full = files.join(w, word == F.col("_w"), "left").join(c, cue == F.col("_c"), "left")
     full = full.join(chars, (F.col("source") == F.col("_s1")) & (F.col("n_chars") == F.col("_n1")), "left")
     full = full.join(octets, (F.col("source") == F.col("_s2")) & (F.col("n_bytes") == F.col("_n2")), "left")
-    full = full.join(copied, F.col("doc") == F.col("_d"), "left")
+    full = full.join(copies, F.col("doc") == F.col("_d"), "left")
     zero = lambda name: F.coalesce(F.col(name), F.lit(0))
     at_limit = F.col("_n1").isNotNull() | F.col("_n2").isNotNull()
     complete_cue = (zero("c_total") >= 2) & (zero("c_total") >= 0.05 * zero("c_longer"))
@@ -221,15 +279,23 @@ def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source
     shut = (F.col("stop") | F.col("aside") | complete_cue) & ~part_cue
     part_word = (zero("w_longer") >= 2) & (zero("w_total") < PART * (zero("w_total") + zero("w_longer"))) & ~F.col("trail")
     never_last = (zero("w_total") >= FREQUENT) & (zero("w_ends") < ENDS * zero("w_total"))
+    # the copy's next words tell whether the last cue is complete; asides and ends without a word aren't among them
+    open_end, spoken = ~F.col("stop") & ~F.col("trail"), ~F.col("aside") & (F.col("word") != "")
+    yes = lambda name: F.coalesce(F.col(name), F.lit(False))
+    # an end that is closed here, but not there, is its author's
+    in_cue = yes("in_cue") & (open_end | yes("halted"))
+    goes_on = spoken & (in_cue | (yes("in_word") & open_end))
+    ended = spoken & yes("new_cue") & ~goes_on
     why = (
         F.when(F.col("broken"), "broken character")
         .when(F.col("head"), "broken cue head")
         .when(at_limit & F.col("trail"), "limit")
+        .when(goes_on, "prefix of a longer copy")
         .when(F.col("trail"), None)
         .when(part_cue, "part of a cue")
         .when(shut, None)
+        .when(ended, None)
         .when(at_limit, "limit")
-        .when(F.col("copied"), "prefix of a longer copy")
         .when(F.col("closes") >= CLOSES, "open sentence")
         .when(part_word, "part of a word")
         .when(never_last, "word that ends no cue")

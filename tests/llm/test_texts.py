@@ -230,3 +230,16 @@ def test_cut_after_a_speakers_dash(spark):
     got = judged(spark, [(t, None) for t in cut + fine])
     assert [got[i] for i in range(len(cut))] == ["broken cue head"] * len(cut)
     assert [got[i] for i in range(len(cut), len(cut + fine))] == [None] * len(fine)
+
+
+def test_a_copys_next_words_tell_whether_the_end_was_a_cut(spark):
+    lines = [f"- The marble river{k} forgot the photograph.\n- A fiddle{k} polished it." for k in range(4)]
+    one, two = "- The marble river9 forgot the photograph.", "- A fiddle9 - polished it."
+    more = "The marble river8 was old."
+    whole = srt(*lines, one + "\n" + two, more)
+    few = srt("- Her uncle refused.\n- The wooden gate.", "No humble ledger blamed the widow or the doctor tonight.")
+    cut = [srt(*lines, one), srt(*lines, one + "\n- A fiddle9 -"), srt("- Her uncle refused."), srt("- Her uncle refused.\n- The woo"), srt("- Her uncle")]
+    fine = [srt(*lines, one + "\n" + two), srt(*lines, (one + "\n" + two).rstrip(".")), srt(*lines, one + "\n- A…"), srt("- Her uncle refused.\n- The wooden gate."), srt("Her."), srt("Her uncle."), whole, few]
+    got = judged(spark, [(t, None) for t in cut + fine])
+    assert [got[i] for i in range(len(cut))] == ["prefix of a longer copy"] * len(cut)
+    assert [got[i] for i in range(len(cut), len(cut + fine))] == [None] * len(fine)
