@@ -46,6 +46,8 @@ OPENING = 8
 CLOSES = 0.2
 #: Lengths pile up where at least PILE files have one, and TIMES as many as lengths within WINDOW have on average.
 PILE, TIMES, WINDOW = 4, 8, 40
+#: Sizes of blocks at whose multiples a transfer may end (fixed values).
+BLOCKS = (*(2**k for k in range(7, 17)), 500, 1000, 2000, 5000, 10_000, 20_000, 50_000, 100_000)
 #: A last cue that so many different files have is complete, if it isn't rare beside its continuations.
 TAILS, TAIL_SHARE = 4, 0.2
 #: A word that ends a cue less often than this in FREQUENT occurrences doesn't end one; one seen this rarely beside longer words is a part.
@@ -180,12 +182,16 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counters()
 
 
-def _limits(docs: DataFrame) -> DataFrame:
-    """source, unit, n: lengths at which a source's files pile up."""
+def _lengths(docs: DataFrame) -> DataFrame:
+    """source, unit, n, files: how many different files of a source have a length in characters (c) or bytes (b)."""
     units = F.explode(F.array(F.struct(F.lit("c").alias("unit"), F.col("n_chars").alias("n")), F.struct(F.lit("b").alias("unit"), F.col("n_bytes").alias("n"))))
     # copies of one file are no pile
     own = docs.select("source", "n_chars", "n_bytes", "print").distinct()
-    counts = own.select("source", units.alias("u")).groupBy("source", "u.unit", "u.n").agg(F.count(F.lit(1)).alias("files"))
+    return own.select("source", units.alias("u")).groupBy("source", "u.unit", "u.n").agg(F.count(F.lit(1)).alias("files"))
+
+
+def _limits(counts: DataFrame) -> DataFrame:
+    """source, unit, n: lengths at which a source's files pile up."""
     # the neighbourhood by buckets of WINDOW lengths, each reaching the two beside it: no window over a whole source
     bucket = F.floor(F.col("n") / WINDOW)
     near = counts.select("source", "unit", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"), "files")
@@ -196,6 +202,27 @@ def _limits(docs: DataFrame) -> DataFrame:
     return piles.select("source", "unit", "n")
 
 
+def _blocks(counts: DataFrame) -> DataFrame:
+    """source, c_blocks, b_blocks: sizes at whose multiples, however rare each of them, the lengths of a source's files pile up.
+
+    Multiples of a larger size are left to that size, and the most frequent length doesn't count, as it is a limit alone.
+    At least three lengths must show a size.
+    """
+    at = F.explode(F.array(*map(F.lit, BLOCKS))).alias("block")
+    near = counts.select("source", "unit", "n", "files", at).withColumn("off", F.pmod(F.col("n") + WINDOW, F.col("block")) - WINDOW)
+    own = F.lit(True)
+    for b in BLOCKS:
+        own = own & ((F.col("block") >= b) | (F.lit(b) % F.col("block") != 0) | ((F.col("n") - F.col("off")) % b != 0))
+    near = near.filter((F.col("off") <= WINDOW) & (F.col("n") - F.col("off") >= F.col("block")) & own)
+    hit = F.when(F.col("off") == 0, F.col("files"))
+    sums = near.groupBy("source", "unit", "block").agg(
+        (F.sum(hit) - F.max(hit)).alias("others"), F.count(hit).alias("lengths"), (F.sum(F.when(F.col("off") != 0, F.col("files")).otherwise(0)) / (2 * WINDOW)).alias("mean")
+    )
+    sizes = sums.filter((F.col("lengths") >= 3) & (F.col("others") >= PILE) & (F.col("others") >= TIMES * (F.col("mean") + 0.2)))
+    of = lambda unit: F.collect_set(F.when(F.col("unit") == unit, F.col("block")))
+    return sizes.groupBy("source").agg(of("c").alias("c_blocks"), of("b").alias("b_blocks"))
+
+
 def strict_prefixes(short: DataFrame, long: DataFrame, key: str, value: str, starts: str | None = None, halts: str | None = None) -> DataFrame:
     """The distinct (key, value) of ``short`` whose value is a strict prefix, by characters, of a ``long`` value with its key.
 
@@ -264,15 +291,18 @@ def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source
     c = known.select(F.col("value").alias("_c"), F.col("total").alias("c_total"), F.col("longer").alias("c_longer"))
     tails = files.filter("cue != ''").groupBy(cue.alias("_t"), "n_chars").agg(F.lit(1).alias("one")).groupBy("_t").agg(F.count(F.lit(1)).alias("tails"))
     c = c.join(tails.filter(F.col("tails") >= TAILS), F.col("_c") == F.col("_t"), "left").drop("_t")
-    limits = _limits(files)
+    counts = _lengths(files)
+    limits, blocks = _limits(counts), _blocks(counts).withColumnRenamed("source", "_s3")
     chars = limits.filter("unit = 'c'").select(F.col("source").alias("_s1"), F.col("n").alias("_n1"))
     octets = limits.filter("unit = 'b'").select(F.col("source").alias("_s2"), F.col("n").alias("_n2"))
     full = files.join(w, word == F.col("_w"), "left").join(c, cue == F.col("_c"), "left")
     full = full.join(chars, (F.col("source") == F.col("_s1")) & (F.col("n_chars") == F.col("_n1")), "left")
     full = full.join(octets, (F.col("source") == F.col("_s2")) & (F.col("n_bytes") == F.col("_n2")), "left")
+    full = full.join(blocks, F.col("source") == F.col("_s3"), "left")
     full = full.join(copies, F.col("doc") == F.col("_d"), "left")
     zero = lambda name: F.coalesce(F.col(name), F.lit(0))
-    at_limit = F.col("_n1").isNotNull() | F.col("_n2").isNotNull()
+    multiple = lambda n, sizes: F.coalesce(F.exists(sizes, lambda b: (F.col(n) > 0) & (F.col(n) % b == 0)), F.lit(False))
+    at_limit = F.col("_n1").isNotNull() | F.col("_n2").isNotNull() | multiple("n_chars", "c_blocks") | multiple("n_bytes", "b_blocks")
     complete_cue = (zero("c_total") >= 2) & (zero("c_total") >= 0.05 * zero("c_longer"))
     complete_cue = complete_cue | ((zero("tails") > 0) & (zero("tails") >= TAIL_SHARE * zero("c_longer")))
     part_cue = F.col("aside") & (zero("c_total") == 0) & (zero("c_longer") >= 2) & ~complete_cue

@@ -243,3 +243,23 @@ def test_a_copys_next_words_tell_whether_the_end_was_a_cut(spark):
     got = judged(spark, [(t, None) for t in cut + fine])
     assert [got[i] for i in range(len(cut))] == ["prefix of a longer copy"] * len(cut)
     assert [got[i] for i in range(len(cut), len(cut + fine))] == [None] * len(fine)
+
+
+def test_rare_multiples_of_a_block(spark):
+    """Lengths that one or two files have are limits where all multiples of a size pile up, and only there."""
+    rng = random.Random(5)
+    words = [w for line in SENTENCES for w in line.lower().rstrip(".").split()]
+    line = lambda: " ".join(rng.choice(words) for _ in range(6))
+    text = lambda n: srt(*(line() for _ in range(n)))
+    sizes = [512] * 6 + [1024] * 3 + [1536] * 3 + [2560] * 2 + [3584, 3072]
+    # cut behind a whole word, so that nothing else tells
+    cut = [text(80)[: n - 6] + " river" for n in sizes]
+    fine = [srt(*(line() for _ in range(40)))[:n].rsplit(" ", 1)[0] for n in (700, 900)]
+    texts = [(t, "blocks") for t in cut] + [(text(12 + k % 30), "blocks") for k in range(60)] + [(text(70)[: n - 6] + " river", "other") for n in (1536, 2560)] + [(t, "other") for t in fine]
+    docs = spark.createDataFrame([(i, t, "c", s) for i, (t, s) in enumerate(texts)], SCHEMA)
+    rows = truncation.judge(docs, debug=True).select("doc", "n_chars", "c_blocks").collect()
+    assert {tuple(r.c_blocks) for r in rows if r.doc < 76} == {(512,)} and all(r.c_blocks is None for r in rows if r.doc >= 76)
+    got = judged(spark, texts)
+    # a size that is cut inside a time line is marked by that
+    assert all(got[i] is not None for i in range(len(sizes)))
+    assert sum(got[i] == "limit" for i in range(9, len(sizes))) >= 5
