@@ -27,6 +27,8 @@ _CREDITS = (
 )
 _ALONE = ("the end", "fin", "fine", "ende", "koniec")
 _MUSIC = ("♪", "♫", "â™ª", "â™«", "Ã¢â„¢Âª")
+#: A byte-order mark, also decoded as a one-byte encoding once or twice.
+_MARK = re.compile(r"\A\s*(?:\ufeff|ï»¿|Ã¯Â»Â¿)+")
 _LETTERS = re.compile(r"[^a-z]")
 
 _memo: dict[str, str] = {}
@@ -92,6 +94,7 @@ def cues(text: str) -> list[Cue]:
     """The cues of a file, in order, without mark-up; a file without any times is one cue."""
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
+    text = _MARK.sub("", text)
     blocks: list[list[str]] = []
     for line in text.split("\n"):
         if "->" in line and _TIMES.match(line):

@@ -263,3 +263,10 @@ def test_rare_multiples_of_a_block(spark):
     # a size that is cut inside a time line is marked by that
     assert all(got[i] is not None for i in range(len(sizes)))
     assert sum(got[i] == "limit" for i in range(9, len(sizes))) >= 5
+
+
+@pytest.mark.parametrize("mark", ["\ufeff", "ï»¿", "Ã¯Â»Â¿"])
+def test_byte_order_mark_before_the_first_times(spark, mark):
+    times, text = "00:00:01,000 --> 00:00:02,000\n", ITEMS[0][1]
+    assert subtitles.cues(mark + times + "One two.\n\n" + times + "Three.") == subtitles.cues(times + "One two.\n\n" + times + "Three.")
+    assert set(leaked(spark, mark + times + text + "\n\n" + times + "After.")) == {(0, 1)}
