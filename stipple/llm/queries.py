@@ -19,8 +19,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_wrong_answers(spark: SparkSession, d: str) -> DataFrame:
-    """The measured share of wrong answers with fingerprints of 32 bits."""
-    return seen.wrong_answers(load(spark, d, "sbcd_recs"), load(spark, d, "seen_strids"), key="strid", record_id="rec_id", bits=32)
+    """The measured share of wrong answers with the fingerprints of p2_found and, where some can be seen, with 32 bits; a row each."""
+    records, earlier = load(spark, d, "sbcd_recs"), load(spark, d, "seen_strids")
+    measured = [seen.wrong_answers(records, earlier, key="strid", record_id="rec_id", bits=bits) for bits in (32, FINGERPRINT_BITS)]
+    return measured[0].unionByName(measured[1])
 
 
 def _heavy(spark: SparkSession, d: str) -> DataFrame:

@@ -139,3 +139,12 @@ def test_top_n_with_ties_and_large_groups(spark):
         assert len(got) == len({(r.grp, r.item) for r in got})
         assert {(r.grp, r.item, r.rank) for r in got} == top_brute(rows, n)
     assert topn.top_n(df.limit(0), F.col("factor"), F.col("feature"), F.col("chi2"), 3).collect() == []
+
+
+def test_wrong_answers_are_measured_as_p2_found_runs(spark, tmp_path):
+    from stipple.llm import queries
+
+    spark.createDataFrame([(i, f"k{i % 7}") for i in range(20)], "rec_id long, strid string").write.parquet(str(tmp_path / "sbcd_recs.parquet"))
+    spark.createDataFrame([("k0",)], "strid string").write.parquet(str(tmp_path / "seen_strids.parquet"))
+    rows = {r.bits: (r.records, r.new_keys, r.wrong) for r in queries.p2_wrong_answers(spark, str(tmp_path)).collect()}
+    assert rows == {32: (20, 6, 0), queries.FINGERPRINT_BITS: (20, 6, 0)}
