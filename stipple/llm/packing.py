@@ -7,8 +7,8 @@ items of equal length.
 
 Scale: one pass sizes the texts, and the sizes are written once. The driver holds the histogram, ``capacity`` numbers,
 and the counts by (length, salt), of which there are at most ``capacity + items / SALT_ROWS``. A length that many items
-share is ranked in salted parts. The patterns are at most a few per length; they are joined to the items by length and
-range of ranks, and each (length, salt) group is found in one task.
+share is ranked in salted parts, by one shuffle of (id, length). Places are one row a length, with sorted ranks; an item
+joins its length's row by equality and finds its place there by binary search.
 """
 
 from __future__ import annotations
@@ -56,85 +56,116 @@ def count_tokens(text: Column, path: str = VOCABULARY) -> Column:
     return count(text)
 
 
+class Sums:
+    """How many ordered singles, pairs and triples of the lengths that are left have each sum: the index of exact complements.
+
+    A length that is used up is taken out of all three by shifted differences, so the index is never computed again.
+    """
+
+    def __init__(self, left: np.ndarray) -> None:
+        self.one = (left > 0).astype(np.int64)
+        size = len(left)
+        self.two = np.convolve(self.one, self.one)[:size]
+        self.three = np.convolve(self.two, self.one)[:size]
+
+    def remove(self, k: int) -> None:
+        """Length k has no items left."""
+        size, one, two, three = len(self.one), self.one, self.two, self.three
+        # (p - e)^3 = p^3 - 3 p^2 e + 3 p e^2 - e^3, and the same for the square, where e shifts by k
+        three[k:] -= 3 * two[: size - k]
+        if 2 * k < size:
+            three[2 * k :] += 3 * one[: size - 2 * k]
+        if 3 * k < size:
+            three[3 * k] -= 1
+        two[k:] -= 2 * one[: size - k]
+        if 2 * k < size:
+            two[2 * k] += 1
+        one[k] = 0
+
+
 def plan(counts: np.ndarray) -> list[tuple[int, list[int]]]:
     """(how often, lengths) of containers for counts[length] items of each length; the capacity is len(counts) - 1.
 
-    From the longest length down, its gap is filled exactly by one, by two or by three other lengths while they last,
-    then by the best fit. Every step uses up a length or leaves one item, so there are O(capacity) steps.
+    From the longest length down, its gap is filled exactly by one, by two or by three other lengths while they last;
+    else the longest length that fits goes in, and its gap is tried again. A step repeats its container until a length
+    of it runs short, which at least halves what is left of that length: O(capacity * log(items)) steps.
     """
     left, room = counts.astype(np.int64).copy(), len(counts) - 1
     left[0] = 0
+    sums = Sums(left)
     out: list[tuple[int, list[int]]] = []
 
-    def use(lengths: list[int]) -> None:
-        own, need = np.unique(lengths, return_counts=True)
-        times = int((left[own] // need).min())
-        left[own] -= times * need
-        out.append((times, lengths))
-
-    def fits(lengths: list[int]) -> bool:
-        own, need = np.unique(lengths, return_counts=True)
-        return bool((left[own] >= need).all())
-
-    def pair(gap: int, first: int) -> list[int] | None:
-        """Two lengths with the sum gap, besides first; the most unequal first."""
-        a = np.arange(gap - 1, (gap + 1) // 2 - 1, -1)
-        for k in a[(left[a] > 0) & (left[gap - a] > 0)][:8]:
-            if fits([first, int(k), gap - int(k)]):
-                return [int(k), gap - int(k)]
-        return None
-
-    def triple(gap: int, first: int) -> list[int] | None:
-        have = np.flatnonzero(left[: gap + 1])
-        some = np.zeros(gap + 1, dtype=np.float32)
-        some[have] = 1
-        size = 1 << int(2 * gap + 1).bit_length()
-        wave = np.fft.rfft(some, size)
-        sums = np.fft.irfft(wave * wave, size)[: gap + 1] > 0.5  # the sums of two lengths that there are
-        for k in have[::-1]:
-            if k < gap and sums[gap - k]:
-                two = pair(gap - int(k), first)
-                if two and fits([first, int(k), *two]):
-                    return [int(k), *two]
+    def complement(gap: int, rest: np.ndarray) -> list[int] | None:
+        """One, two or three lengths with the sum gap among the items in ``rest``; the longest first."""
+        if rest[gap] > 0:
+            return [gap]
+        if sums.two[gap]:
+            a = np.arange(gap - 1, (gap + 1) // 2 - 1, -1)
+            a = a[(rest[a] > 0) & (rest[gap - a] > 0) & ((2 * a != gap) | (rest[a] > 1))]
+            if len(a):
+                return [int(a[0]), gap - int(a[0])]
+        if sums.three[gap]:
+            for k in np.flatnonzero(rest[:gap])[::-1]:
+                k = int(k)
+                if 3 * k < gap:  # k is the longest of the three
+                    break
+                if not sums.two[gap - k]:
+                    continue
+                rest[k] -= 1
+                a = np.arange(min(k, gap - k - 1), (gap - k + 1) // 2 - 1, -1)
+                a = a[(rest[a] > 0) & (rest[gap - k - a] > 0) & ((2 * a != gap - k) | (rest[a] > 1))]
+                rest[k] += 1
+                if len(a):
+                    return [k, int(a[0]), gap - k - int(a[0])]
         return None
 
     for length in range(room, 0, -1):
         while left[length]:
-            gap = room - length
-            exact: list[int] | None = [] if gap == 0 else None
-            if gap and left[gap] and fits([length, gap]):
-                exact = [gap]
-            if exact is None and gap > 1:
-                exact = pair(gap, length)
-            if exact is None and gap > 2:
-                exact = triple(gap, length)
-            if exact is None:
-                exact, rest = [], gap
-                while True:  # the longest that fits, again and again
-                    have = np.flatnonzero(left[: rest + 1])
-                    pick = next((int(k) for k in have[::-1][:8] if fits([length, *exact, int(k)])), None) if len(have) else None
-                    if pick is None:
-                        break
-                    exact.append(pick)
-                    rest -= pick
-            use([length, *exact])
+            rest, own, gap = left.copy(), [length], room - length
+            rest[length] -= 1
+            while gap:
+                exact = complement(gap, rest)
+                if exact is not None:
+                    own += exact
+                    break
+                have = np.flatnonzero(rest[: gap + 1])
+                if not len(have):
+                    break
+                pick = int(have[-1])  # best fit
+                rest[pick] -= 1
+                own.append(pick)
+                gap -= pick
+            lengths, need = np.unique(own, return_counts=True)
+            times = int((left[lengths] // need).min())
+            left[lengths] -= times * need
+            for k in lengths[left[lengths] == 0]:
+                sums.remove(int(k))
+            out.append((times, own))
     return out
 
 
-def _slots(patterns: list[tuple[int, list[int]]], first: int) -> list[tuple[int, int, int, int, int]]:
-    """(length, from rank, to rank, first container, items of the length in each container)."""
+def _slots(patterns: list[tuple[int, list[int]]]) -> dict[int, list[tuple[int, int, int]]]:
+    """Per length, by rising rank: (from rank, first container, items of the length in each container)."""
     at: dict[int, int] = {}
-    out = []
+    out: dict[int, list[tuple[int, int, int]]] = {}
+    first = 0
     for times, lengths in patterns:
         own, each = np.unique(lengths, return_counts=True)
         for length, n in zip(own.tolist(), each.tolist()):
             begin = at.get(length, 0)
-            out.append((length, begin, begin + times * n, first, n))
+            out.setdefault(length, []).append((begin, first, n))
             at[length] = begin + times * n
         first += times
     return out
 
 
+def _last_at_most(values: Column, x: Column, size: int) -> Column:
+    """The 0-based place of the last of up to ``size`` rising values that is at most x; the first always is. A binary search."""
+    steps = [1 << k for k in reversed(range(max(1, size - 1).bit_length()))]
+    further = lambda at, step: F.coalesce(F.get(values, at + step) <= x, F.lit(False))
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(further(at, step), at + step).otherwise(at))
+
+
 def pack(items: DataFrame, item_id: str, size: str, capacity: int) -> DataFrame:
     """item_id, piece, n_tokens, container: every piece of every item in a container of ``capacity``.
 
@@ -149,37 +180,39 @@ def pack(items: DataFrame, item_id: str, size: str, capacity: int) -> DataFrame:
     rest = F.col("n") - full * capacity
     parts = sized.select("id", "n", full.alias("full"), rest.alias("length"))
     tails = parts.filter((F.col("length") > 0) | (F.col("n") == 0)).select("id", F.col("full").alias("piece"), "length")
-    salted = tails.withColumn("salt", F.xxhash64("id"))
-    lengths = {r["length"]: r["n"] for r in tails.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
-    split = {k: -(-v // SALT_ROWS) for k, v in lengths.items() if v > SALT_ROWS}
-    ways = F.lit(1)
-    for k, v in split.items():  # lengths that more than SALT_ROWS items share; at most capacity
-        ways = F.when(F.col("length") == k, v).otherwise(ways)
-    salted = salted.withColumn("salt", F.pmod("salt", ways).cast("int"))
-    counts = salted.filter("length > 0").groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).orderBy("length", "salt").collect()
+    some = tails.filter("length > 0")
+    lengths = some.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # fewer rows than the capacity
+    ways = {r["length"]: -(-r["n"] // SALT_ROWS) for r in lengths}
+    # one row a length, fewer than the capacity: small whatever the items are
+    way = spark.createDataFrame(sorted(ways.items()), "length long, ways long")
+    salted = some.join(F.broadcast(way), "length").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("ways"))).drop("ways")
+    if any(n > 1 for n in ways.values()):
+        counts = [tuple(r) for r in salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).orderBy("length", "salt").collect()]
+    else:
+        counts = sorted((r["length"], 0, r["n"]) for r in lengths)
     offsets, seen, histogram = [], {}, np.zeros(capacity + 1, dtype=np.int64)
-    for r in counts:
-        offsets.append((r["length"], r["salt"], seen.get(r["length"], 0)))
-        seen[r["length"]] = seen.get(r["length"], 0) + r["n"]
-        histogram[r["length"]] += r["n"]
+    for length, salt, n in counts:
+        offsets.append((length, salt, seen.get(length, 0)))
+        seen[length] = seen.get(length, 0) + n
+        histogram[length] += n
     patterns = plan(histogram)
-    slots = _slots(patterns, 0)
-    used = sum(times for times, _ in patterns)
-    offset = spark.createDataFrame(offsets, "length long, salt int, offset long")
-    slot = spark.createDataFrame(slots, "length long, low long, high long, first long, each int")
+    slots = _slots(patterns)
+    used, most = sum(times for times, _ in patterns), max(map(len, slots.values()), default=1)
+    offset = spark.createDataFrame(offsets, "length long, salt long, offset long")
+    # one row a length again, with its places by rising rank
+    slot = spark.createDataFrame([(k, *map(list, zip(*v))) for k, v in slots.items()], "length long, low array<long>, first array<long>, each array<long>")
     order = Window.partitionBy("length", "salt").orderBy("id")
-    ranked = salted.filter("length > 0").withColumn("rank", F.row_number().over(order) - 1)
-    ranked = ranked.join(offset, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("offset"))
-    found = ranked.join(slot, "length").filter((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-    packed = found.select("id", "piece", F.col("length").alias("n_tokens"), (F.col("first") + F.floor((F.col("rank") - F.col("low")) / F.col("each"))).alias("container"))
-    none = tails.filter("length = 0").select("id", F.lit(0).cast("long").alias("piece"), "length", F.lit(0).cast("long").alias("container"))
+    ranked = salted.withColumn("rank", F.row_number().over(order) - 1).join(offset, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("offset"))
+    found = ranked.join(F.broadcast(slot), "length").withColumn("at", _last_at_most(F.col("low"), F.col("rank"), most))
+    container = F.get("first", F.col("at")) + F.floor((F.col("rank") - F.get("low", F.col("at"))) / F.get("each", F.col("at")))
+    packed = found.select("id", "piece", F.col("length").alias("n_tokens"), container.alias("container"))
+    none = tails.filter("length = 0").select("id", F.lit(0).cast("long").alias("piece"), F.col("length").alias("n_tokens"), F.lit(0).cast("long").alias("container"))
     # full pieces: their containers follow those of the plan, numbered by the item's place among the large items
-    large = parts.filter("full > 0")
-    large = _running(large, used)
+    large = _running(parts.filter("full > 0"), used)
     whole = large.select("id", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("piece", "_k"), "begin").select(
         "id", F.col("piece").cast("long").alias("piece"), F.lit(capacity).cast("long").alias("n_tokens"), (F.col("begin") + F.col("piece")).alias("container")
     )
-    return packed.unionByName(none.withColumnRenamed("length", "n_tokens")).unionByName(whole).withColumnRenamed("id", item_id)
+    return packed.unionByName(none).unionByName(whole).withColumnRenamed("id", item_id)
 
 
 def _running(large: DataFrame, first: int) -> DataFrame:

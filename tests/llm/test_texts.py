@@ -129,6 +129,32 @@ def test_plan_is_near_the_optimum():
         assert n <= optimum(items, room) + 1
 
 
+@pytest.mark.parametrize("room,lengths,bins", [(2048, [*range(1, 61), 500], 2), (1200, [*range(1, 101), 200], 5), (2048, [1] * 5000, 3)])
+def test_many_lengths_share_a_container(room, lengths, bins):
+    assert sum(t for t, _ in packing.plan(np.bincount(lengths, minlength=room + 1))) == bins
+
+
+def test_index_of_sums_follows_used_up_lengths():
+    rng = np.random.default_rng(4)
+    left = rng.integers(0, 3, 50)
+    left[0] = 0
+    sums = packing.Sums(left)
+    for k in rng.permutation(np.flatnonzero(left)):
+        left[k] = 0
+        sums.remove(int(k))
+        new = packing.Sums(left)
+        assert (sums.one == new.one).all() and (sums.two == new.two).all() and (sums.three == new.three).all()
+
+
+def test_every_length_salted(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SALT_ROWS", 1)
+    df = spark.range(3 * 2048).selectExpr("id", "id % 2048 + 1 AS n")
+    got = packing.pack(df, "id", "n", 2048)
+    room = {r.container: r.n for r in got.groupBy("container").agg(F.sum("n_tokens").alias("n")).collect()}
+    assert got.select("id").distinct().count() == got.count() == 3 * 2048
+    assert max(room.values()) == 2048 and len(room) <= 1.01 * 3 * 2048 * 2049 / 2 / 2048
+
+
 def test_pack(spark, monkeypatch):
     monkeypatch.setattr(packing, "SALT_ROWS", 40)  # so that lengths are ranked in parts
     rng = random.Random(2)
