@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
 from typing import NamedTuple
 
 #: Look-alikes of recognition errors, spelled out so that a single letter and its pair become the same (fixed value).
@@ -20,16 +21,13 @@ _PLAIN = str.maketrans({"ł": "l", "Ł": "L", "ß": "ss", "œ": "oe", "Œ": "OE"
 _MARKUP = re.compile(r"<[^<>]{0,200}>|\{[^{}]{0,200}\}|&[a-zA-Z]{2,8};|&#\d{1,6};")
 _LABEL = re.compile(r"^[\s\-–—]*[^\W\d_][\w' .]{0,24}:\s+")
 _TIMES = re.compile(r"^\s*\d{1,3}:\d\d(?::\d\d)?[.,:]\d{1,4}\s*-+>")
-#: Words of credits and adverts, which are cues without dialogue (fixed values); songs' marks, also after a wrong decoding.
-_CREDITS = (
-    "subtitles by", "captions by", "captions at", "synced and corrected", "synced by", "ripped for", "ripped by", "encoded by", "proudly presents", "support us", "advertise your",
-    "remove all adverts", "to be continued", "end of part",
-)
-_ALONE = ("the end", "fin", "fine", "ende", "koniec")
+#: Songs' marks, also after a wrong decoding (fixed values).
 _MUSIC = ("♪", "♫", "â™ª", "â™«", "Ã¢â„¢Âª")
 #: A byte-order mark, also decoded as a one-byte encoding once or twice.
 _MARK = re.compile(r"\A\s*(?:\ufeff|ï»¿|Ã¯Â»Â¿)+")
 _LETTERS = re.compile(r"[^a-z]")
+#: The end of a line that is a web address: labels of letters, digits and hyphens, and maybe a path.
+_ADDRESS = re.compile(r"(?:^|[\s(])(?:https?://|www\.)?(?:[A-Za-z0-9](?:[\w-]*[A-Za-z0-9])?\.)+[a-z]{2,10}(?:/\S*)?[\s)]*$")
 
 _memo: dict[str, str] = {}
 
@@ -52,19 +50,20 @@ def fold_plain(word: str) -> str:
     return fold("".join(c for c in text if not unicodedata.combining(c)))
 
 
-_CREDIT_FORMS = tuple(" ".join(fold(w) for w in p.split()) for p in _CREDITS)
-_ALONE_FORMS = frozenset(" ".join(fold(w) for w in p.split()) for p in _ALONE)
-_SITE = fold("example")
-
-
 class Cue(NamedTuple):
     lines: list[str]
     words: list[str]
     aside: bool
+    credit: bool
     music: bool
 
 
-def _cue(block: list[str]) -> Cue:
+def forms(phrases: Iterable[str]) -> tuple[str, ...]:
+    """Phrases as ``cues`` takes them: comparable words with a blank at the end."""
+    return tuple(" ".join(filter(None, map(fold, p.split()))) + " " for p in phrases)
+
+
+def _cue(block: list[str], phrases: tuple[str, ...]) -> Cue:
     lines, raw = [], []
     for line in block:
         line = line.strip()
@@ -80,18 +79,19 @@ def _cue(block: list[str]) -> Cue:
         raw += own
     words = [f for w in raw if (f := _memo.get(w) if w in _memo else fold(w))]
     if not lines:
-        return Cue(lines, words, False, False)
+        return Cue(lines, words, False, False, False)
     first, last = lines[0].lstrip("-– ")[:1], lines[-1].rstrip(" .")[-1:]
     aside = first != "" and first in "[(*" and last in "])*"
-    joined = " ".join(words)
-    if not aside:
-        aside = joined in _ALONE_FORMS or any(f in joined for f in _CREDIT_FORMS) or any(w.endswith(_SITE) and len(w) > len(_SITE) for w in words)
+    credit = not aside and (bool(phrases) and (" ".join(words) + " ").startswith(phrases) or bool(_ADDRESS.search(lines[-1])))
     music = any(m in line for line in lines for m in _MUSIC) or (first == "#" and last == "#")
-    return Cue(lines, words, aside, music)
+    return Cue(lines, words, aside, credit, music)
+
 
+def cues(text: str, phrases: tuple[str, ...] = ()) -> list[Cue]:
+    """The cues of a file, in order, without mark-up; a file without any times is one cue.
 
-def cues(text: str) -> list[Cue]:
-    """The cues of a file, in order, without mark-up; a file without any times is one cue."""
+    An aside is a cue in brackets; a credit ends in a web address or begins with any of ``phrases`` (see ``forms``).
+    """
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     text = _MARK.sub("", text)
@@ -102,25 +102,23 @@ def cues(text: str) -> list[Cue]:
         elif blocks and line:
             blocks[-1].append(line)
     if not blocks:
-        return [_cue(text.split("\n"))]
+        return [_cue(text.split("\n"), phrases)]
     for block in blocks[:-1]:
         while block and not block[-1].strip():
             block.pop()
         if block and block[-1].strip().isdigit():  # the next cue's number
             block.pop()
-    return [_cue(b) for b in blocks]
+    return [_cue(b, phrases) for b in blocks]
 
 
-def dialogue(text: str) -> tuple[list[str], list[int], list[int]]:
-    """The folded words of the dialogue, the cue each is in, and the cues that are songs, which count as dialogue; asides don't."""
+def dialogue(text: str, phrases: tuple[str, ...] = ()) -> tuple[list[str], list[int], list[int]]:
+    """The folded words of all cues, the cue each is in, and the cues that may be without dialogue: asides, credits and songs."""
     words: list[str] = []
     at: list[int] = []
-    songs: list[int] = []
-    for k, cue in enumerate(cues(text)):
-        if cue.aside:
-            continue
-        if cue.music:
-            songs.append(k)
+    beside: list[int] = []
+    for k, cue in enumerate(cues(text, phrases)):
+        if cue.aside or cue.credit or cue.music:
+            beside.append(k)
         words += cue.words
         at += [k] * len(cue.words)
-    return words, at, songs
+    return words, at, beside

@@ -1,5 +1,6 @@
 import os
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -17,6 +18,7 @@ ITEMS = [
     (4, None),
     (5, ""),
 ]
+PHRASES = ("subtitles by", "the end")
 SCHEMA = "doc_id long, text string, item_id string, source string"
 
 
@@ -27,7 +29,7 @@ def srt(*cues, sep="\n"):
 def leaked(spark, *texts):
     docs = spark.createDataFrame([(i, t, "clash", "s") for i, t in enumerate(texts)], SCHEMA)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    return {(r.doc_id, r.item_id): r.n_words for r in leakage.leaks(docs, items).collect()}
+    return {(r.doc_id, r.item_id): r.n_words for r in leakage.leaks(docs, items, phrases=PHRASES).collect()}
 
 
 def test_leaks_through_damage(spark):
@@ -66,11 +68,43 @@ def test_leaks_of_empty_tables(spark):
 
 def test_prefix_join_keeps_all_damaged_passages():
     """Every window with KEEP undamaged shingles is met by one of its prefix."""
-    items = leakage.Items([(1, ITEMS[0][1])], 14)
-    prefix = {i for _, _, i, _ in items.prefixes({s: (s * 7) % 11 for s in range(len(items.where))})}
+    pairs = [(subtitles.fold(w), subtitles.fold_plain(w)) for w in ITEMS[0][1].split()]
+    folded, plain = [a for a, _ in pairs], [b for _, b in pairs]
+    own = sorted(leakage.item_shingles(folded, plain))
+    prefix = {i for _, i, _ in leakage.prefixes(own, {h: (k * 7) % 11 for k, (h, _, _) in enumerate(own)}, len(folded), 14, leakage.KEEP)}
     n = 14 - leakage.WORDS + 1
-    for at in range(len(items.words[0]) - 13):
+    for at in range(len(folded) - 13):
         assert len(set(range(at, at + n)) - prefix) < leakage.KEEP
+    assert leakage.prefixes(own, {}, len(folded), 14, 1) == set(own)
+
+
+def test_a_bounded_filter_and_all_shingles_give_the_same(spark):
+    rng = random.Random(6)
+    words = [f"word{k}x" for k in range(400)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(40))) for k in range(60)]
+    docs = [(k, srt(*(" ".join(rng.choice(words) for _ in range(9)) for _ in range(6)), *([items[k % 60][1].split(" ", 5)[5][:150]] if k % 3 else [])), "", "s") for k in range(150)]
+    docs, items = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    found = [sorted(tuple(r) for r in leakage.leaks(docs, items, **k).collect()) for k in ({}, {"keep": 1}, {"filter_bytes": 4096})]
+    assert len(found[0]) == 100 and found[0] == found[1] == found[2]
+    with pytest.raises(ValueError):
+        leakage.leaks(docs, items, keep=11)
+
+
+def test_filter_has_no_misses(spark):
+    rng = np.random.default_rng(3)
+    own = rng.integers(-(2**63), 2**63 - 1, 5000)
+    table = spark.createDataFrame([(int(h),) for h in own] + [(0,), (32768,), (-32768,)], "h long")
+    for size in (4096, 40_000, 10_000_000):
+        made = leakage.Filter.of(table, size)
+        assert made.may_have(np.append(own, [0, 32768, -32768])).all()
+        wrong = made.may_have(rng.integers(-(2**63), 2**63 - 1, 5000)).mean()
+        assert wrong < (0.2 if size < 10_000_000 else 1e-9)
+
+
+def test_no_cue_leaves_the_text(spark):
+    """A passage within cues that look like credits or sounds is met, and so is one around them."""
+    first, second = "The marble river forgot the second photograph just", "when the fiddle polished a theater somehow."
+    assert set(leaked(spark, srt("Support us, please.", f"[{first}]", f"[{second}]"), srt(first, "www.some-where.org", "[a door creaks loudly somewhere]", second), srt(f"Support us: {first} {second}"))) == {(0, 1), (1, 1), (2, 1)}
 
 
 @settings(max_examples=100, deadline=None)
@@ -189,7 +223,7 @@ SENTENCES = ["The marble river forgot the photograph.", "A fiddle polished the o
 
 def judged(spark, texts, source="s"):
     docs = [(i, t, "c", s if isinstance(s, str) or s is None else source) for i, (t, s) in enumerate(texts)]
-    return {r.doc_id: r.why if r.cut else None for r in truncation.judge(spark.createDataFrame(docs, SCHEMA)).collect()}
+    return {r.doc_id: r.why if r.cut else None for r in truncation.judge(spark.createDataFrame(docs, SCHEMA), phrases=PHRASES).collect()}
 
 
 def test_cut_files(spark):
@@ -229,12 +263,41 @@ def test_limits_are_learned_per_source(spark):
 
 def test_strict_prefixes(spark):
     rng = random.Random(9)
-    draw = lambda: (rng.choice(["k", "l"]), "".join(rng.choice("ab") for _ in range(rng.randint(0, 9))))
-    short, long = [draw() for _ in range(200)] + [(None, "a"), ("k", None), ("k", "é")], [draw() for _ in range(90)] + [("k", "éa"), (None, "ab")]
-    df = lambda rows: spark.createDataFrame([(*r, 1) for r in rows], "key string, v string, _n int")
-    got = sorted(tuple(r) for r in truncation.strict_prefixes(df(short), df(long), "key", "v").collect())
-    assert got == sorted({(k, v) for k, v in short if k and v and any(o == k and w != v and w.startswith(v) for o, w in long)})
-    assert truncation.strict_prefixes(df([]), df(long), "key", "v").collect() == []
+    draw = lambda: re.sub(" +", lambda m: rng.choice(" \n\r"), "".join(rng.choice("ab ") for _ in range(rng.randint(1, 9))).strip())
+    plain = lambda v: re.sub("[\n\r]", " ", v)
+    values = [v for v in (draw() for _ in range(1500)) if v] + ["é", "éa", "a" * 40_000]
+    rows = [(v, [3], 1) for v in values] + [("", [], 1), (None, None, 1)]
+    got = {r.value: r for r in truncation.strict_prefixes(spark.createDataFrame(rows, "body string, halts array<int>, part int")).collect()}
+    longer = {v: [w for w in values if plain(w) != v and plain(w).startswith(v)] for v in map(plain, values)}
+    assert set(got) == {v for v, more in longer.items() if more}
+    for v, r in got.items():
+        n = len(v)
+        ways = {(w[n] not in " \n\r", w[n] == " ", w[n] in "\n\r", w[n] == " " and n == 3) for w in longer[v]}
+        found = (r.in_word, r.in_cue, r.new_cue, r.halted)
+        assert any(found[:3]) and all(any(w[i] for w in ways) for i in range(4) if found[i])
+    assert truncation.strict_prefixes(spark.createDataFrame([], "body string, halts array<int>")).collect() == []
+
+
+def test_occurrences(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(0, 18)))
+    values, ends = [(word(), rng.randint(1, 3)) for _ in range(600)] + [(None, 1), ("é" * 14, 2)], [word() for _ in range(200)] + [None, "", "é" * 13, "a" * 12]
+    got = {r.value: (r.total, r.longer) for r in truncation.occurrences(spark.createDataFrame([(v, 1) for v in ends], "value string, n int"), spark.createDataFrame(values, "value string, n int")).collect()}
+    want = {}
+    for v in filter(None, ends):
+        total, longer = sum(n for w, n in values if w == v), sum(n for w, n in values if w and w != v and w.startswith(v))
+        if total or longer:
+            want[v] = (total, longer)
+    assert got == want
+
+
+def test_long_cues_are_joined_too(spark):
+    """A last cue of more words than any limit meets longer ones, and its author's end elsewhere keeps it whole."""
+    long = " ".join(["the marble river forgot the second photograph just when the fiddle polished a theater"] * 2)
+    whole = srt("a fiddle polished it", long + " somehow tonight", "her uncle refused")
+    other = [srt(f"a fiddle{k} polished it", long + " somehow tonight", "her uncle refused") for k in range(3)]
+    got = judged(spark, [(t, None) for t in [srt("her uncle refused it", long + " somehow"), whole, *other]])
+    assert got[0] == "prefix of a longer cue" and [got[i] for i in range(1, 5)] == [None] * 4
 
 
 def test_longer_copies(spark):
