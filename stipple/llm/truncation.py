@@ -305,13 +305,15 @@ def _copies(bodies: DataFrame) -> DataFrame:
     """
     value = _plain(F.col("body")).alias("value")
     openings = bodies.filter("opening IS NOT NULL").select("opening", F.xxhash64(value).alias("h")).groupBy("opening").agg(F.min("h").alias("a"), F.max("h").alias("b"))
-    shared = bodies.join(openings.filter("a != b"), "opening", "left_semi").select("doc", value, "body", "halts")
+    # written first: their size is then known, and few of them reach the dialogues without a shuffle of these
+    openings = materialize(openings.filter("a != b").select("opening"))
+    shared = bodies.join(openings, "opening", "left_semi").select("doc", value, "body", "halts")
     # a short body ends within the first OPENING words of a copy
     first = F.substring_index("value", " ", 1)
     few = bodies.filter("opening IS NULL").select("doc", value, "body", "halts")
     heads = bodies.filter("opening IS NOT NULL").select(F.substring_index(value, " ", OPENING + 1).alias("value"), "body", "halts")
-    heads = heads.join(few.select(first.alias("_f")).distinct(), first == F.col("_f"), "left_semi")
-    heads = heads.select(F.substring(F.col("body"), F.lit(1), F.length("value")).alias("body"), F.filter("halts", lambda p: p <= F.length("value")).alias("halts"))
+    heads = heads.select("value", F.substring(F.col("body"), F.lit(1), F.length("value")).alias("body"), F.filter("halts", lambda p: p <= F.length("value")).alias("halts"))
+    heads = heads.join(materialize(few.select(first.alias("_f")).distinct()), first == F.col("_f"), "left_semi").select("body", "halts")
     out = None
     for files, values in ((shared, shared.select("body", "halts")), (few, few.select("body", "halts").unionByName(heads))):
         part = files.select(F.col("doc").alias("_d"), "value").join(strict_prefixes(values), "value").drop("value")
@@ -337,6 +339,8 @@ def occurrences(ends: DataFrame, values: DataFrame) -> DataFrame:
     for short, own in ((far, long), (near, heads)):
         short = short.withColumns({"at": F.length("value"), "h": F.xxhash64("value")})
         lengths = short.groupBy("key").agg(F.collect_set("at").alias("lengths"))
+        if own is long:  # written first: while they are few, no value is shuffled
+            lengths = materialize(lengths)
         hits = own.join(lengths, "key").select("key", "value", "size", "n", F.explode(F.filter("lengths", lambda k: k <= F.col("size"))).alias("at"))
         hits = hits.select("key", "at", F.xxhash64(F.substring(F.col("value"), F.lit(1), F.col("at"))).alias("h"), (F.col("at") == F.col("size")).alias("same"), "n")
         sums = hits.groupBy("key", "at", "h").agg(F.sum(F.when(F.col("same"), F.col("n")).otherwise(0)).alias("total"), F.sum(F.when(~F.col("same"), F.col("n")).otherwise(0)).alias("longer"))
