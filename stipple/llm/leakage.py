@@ -228,20 +228,22 @@ def _read(own: Filter, phrases: tuple[str, ...]):
                 words, cue, beside = subtitles.dialogue(text, phrases)
                 h, q, end = hits(words, cue, beside)
                 if len(h):
-                    out.append((doc, h.tolist(), q.tolist(), end.tolist(), " ".join(words), np.diff(cue, prepend=0).tolist(), beside))
+                    out.append((doc, h.tolist(), q.tolist(), end.tolist(), " ".join(words), np.diff(cue, prepend=0).astype(np.int32).tobytes(), beside))
             numbers = pa.list_(pa.int32())
-            yield _batch(out, ("doc", batch.schema.field("doc").type), ("h", pa.list_(pa.int64())), ("q", numbers), ("end", numbers), ("words", pa.string()), ("steps", numbers), ("beside", numbers))
+            yield _batch(out, ("doc", batch.schema.field("doc").type), ("h", pa.list_(pa.int64())), ("q", numbers), ("end", numbers), ("words", pa.string()), ("steps", pa.binary()), ("beside", numbers))
 
     return run
 
 
 def _verify(run: int):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = words = cue = between = None
         for batch in batches:
             out = []
             names = ("doc", "item", "words", "steps", "beside", "folded", "plain", "seeds")
             for doc, ident, text, steps, beside, item, plain, seeds in zip(*(batch.column(c).to_pylist() for c in names)):
-                words, cue, between = text.split(" "), np.cumsum(steps).tolist(), set(beside)
+                if doc != held:  # the rows of a document follow each other
+                    held, words, cue, between = doc, text.split(" "), np.cumsum(np.frombuffer(steps, dtype=np.int32)).tolist(), set(beside)
                 need = min(run, len(item))
                 if len(words) * 2 < need:  # length: joined words halve them at most
                     continue
@@ -252,8 +254,8 @@ def _verify(run: int):
                     if any(a <= i <= b and abs(q - i - d) <= SLACK + DRIFT * (b - a) and b - a + 1 >= need for a, b, d in done):
                         continue
                     # the hash decides nothing: the words are compared
-                    held = words[q:end] if end - q == WORDS else [words[k] for k in range(q, end) if cue[k] not in between]
-                    if held != plain[i:to] and held != [w for w in item[i:to] if w]:
+                    own = words[q:end] if end - q == WORDS else [words[k] for k in range(q, end) if cue[k] not in between]
+                    if own != plain[i:to] and own != [w for w in item[i:to] if w]:
                         continue
                     a, b = longest(item, plain, words, cue, between, (i, to, q, end))
                     done.append((a, b, q - i))
@@ -283,12 +285,13 @@ def leaks(
     whole = docs.filter(F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
     kind = dict(whole.dtypes)["doc"]
     read = _read(Filter.of(places, filter_bytes), subtitles.forms(phrases))
-    hits = materialize(spread(whole).mapInArrow(read, f"doc {kind}, h array<long>, q array<int>, end array<int>, words string, steps array<int>, beside array<int>"))
+    hits = materialize(spread(whole).mapInArrow(read, f"doc {kind}, h array<long>, q array<int>, end array<int>, words string, steps binary, beside array<int>"))
     per = hits.select(F.explode(F.array_distinct("h")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     ranked = places.join(per, "h", "left").na.fill(0, ["n"])
-    prefix = ranked.groupBy("item").applyInPandas(_chosen(run, keep), "item long, h long, i int, j int")
+    # written, as the seeds below: their sizes are then known, and few of them reach the hits and texts without a shuffle
+    prefix = materialize(ranked.groupBy("item").applyInPandas(_chosen(run, keep), "item long, h long, i int, j int"))
     seeds = hits.select("doc", F.explode(F.arrays_zip("h", "q", "end")).alias("z")).select("doc", "z.*").join(prefix, "h")
-    seeds = seeds.groupBy("doc", "item").agg(F.collect_list(F.struct("q", "end", "i", "j")).alias("seeds"))  # at most a text's places
+    seeds = materialize(seeds.groupBy("doc", "item").agg(F.collect_list(F.struct("q", "end", "i", "j")).alias("seeds")))  # at most a text's places
     pairs = hits.select("doc", "words", "steps", "beside").join(seeds, "doc").join(held, "item")
     found = pairs.mapInArrow(_verify(run), f"doc {kind}, item long, n_words int, first_word int, last_word int")
     return found.withColumnsRenamed({"doc": doc_id, "item": item_id})
