@@ -1,7 +1,7 @@
 """Rows that fail to parse, separated with the reason while the valid rows load.
 
-Every field is first nullable text; cast and constraint rules then fill an array of errors, and rows are split by
-whether that array is empty. All of it is column expressions in one pass over the lines, without a shuffle.
+Every field is first nullable text; cast and constraint rules then fill an array of errors, one entry a broken rule with
+the field's name and text, and rows are split by whether that array is empty. All of it is column expressions in one pass over the lines, without a shuffle.
 """
 
 from __future__ import annotations
@@ -44,12 +44,14 @@ def _valid(c: Column, kind: str) -> Column:
 
 
 def parse_lines(df: DataFrame, layouts: dict[str, Layout], *, kind: str = "kind", line: str = "line") -> DataFrame:
-    """Adds ``errors array<string>`` (reasons in order) and ``fields array<string>`` (unquoted text) to every row.
-
-    One carriage return at the end and one byte-order mark at the start are dropped. Reasons, in this order:
-    'quoting' (a quote that neither opens, closes nor is doubled in a quoted field), 'columns' (not as many fields as
-    the layout has), 'value' (a field breaks its type). A null line is an empty one; a null or unknown kind fits no
-    number of columns. Existing columns stay, except ones named errors or fields.
+    """Adds ``errors array<struct<reason, field, value>>`` and ``fields array<string>`` (unquoted text) to every row.
+
+    One carriage return at the end and one byte-order mark at the start are dropped. There is one error a broken rule, in
+    this order: 'quoting' (a quote that neither opens, closes nor is doubled in a quoted field; the line has no fields
+    then, so no other rule applies), 'columns' (not as many fields as the layout has; the value is their number), 'value'
+    (a field breaks its type; with its name and text), in the layout's order, and for the fields that there are. A null
+    line is an empty one; a null or unknown kind fits no number of columns. Existing columns stay, except ones named
+    errors or fields.
     """
     text = F.coalesce(F.col(line), F.lit(""))
     text = F.when(text.endswith("\r"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
@@ -60,23 +62,30 @@ def parse_lines(df: DataFrame, layouts: dict[str, Layout], *, kind: str = "kind"
     raw = F.regexp_extract_all(F.concat(F.lit("\t"), F.col("_clean")), F.lit(rf"\t({_FIELD})"), F.lit(1))
     unquoted = F.transform(raw, lambda v: F.when(v.startswith('"'), F.replace(F.substring(v, F.lit(2), F.length(v) - 2), F.lit('""'), F.lit('"'))).otherwise(v))
     out = out.withColumn("fields", F.when(plain, F.split("_clean", "\t")).when(F.col("_good"), unquoted))
-    wanted, values = F.lit(None).cast("int"), F.lit(False)
+    error = lambda reason, name, value: F.struct(F.lit(reason).alias("reason"), F.lit(name).cast("string").alias("field"), value.cast("string").alias("value"))
+    none = F.lit(None).cast("struct<reason:string,field:string,value:string>")
+    wanted = F.lit(None).cast("int")
     for name, layout in layouts.items():
         wanted = F.when(F.col(kind) == name, len(layout.fields)).otherwise(wanted)
-    fits = F.coalesce(F.size("fields") == wanted, F.lit(False))
+    errors = F.when(F.col(kind).isin(list(layouts)), F.lit(None)).otherwise(F.array(none))
     for name, layout in layouts.items():
-        ok = F.lit(True)
-        for i, how in enumerate(layout.fields.values()):
-            ok = ok & F.coalesce(_valid(F.get("fields", F.lit(i)), how), F.lit(False))
-        values = F.when(F.col(kind) == name, ~ok).otherwise(values)
-    reason = F.when(~F.col("_good"), "quoting").when(~fits, "columns").when(values, "value")
-    errors = F.array_compact(F.array(reason))
-    return out.withColumn("errors", errors).drop("_clean", "_good")
+        rules = []
+        for i, (field_name, how) in enumerate(layout.fields.items()):
+            value = F.get("fields", F.lit(i))
+            rules.append(F.when(value.isNotNull() & ~F.coalesce(_valid(value, how), F.lit(False)), error("value", field_name, value)))
+        errors = F.when(F.col(kind) == name, F.array(*rules)).otherwise(errors)
+    first = F.when(~F.col("_good"), error("quoting", None, F.lit(None))).when(~F.coalesce(F.size("fields") == wanted, F.lit(False)), error("columns", None, F.size("fields")))
+    return out.withColumn("errors", F.array_compact(F.concat(F.array(first), F.coalesce(errors, F.array(none))))).drop("_clean", "_good")
 
 
 def rejected(parsed: DataFrame) -> DataFrame:
-    """The failing rows with their first reason."""
-    return parsed.filter(F.size("errors") > 0).withColumn("reason", F.get("errors", F.lit(0))).drop("errors", "fields")
+    """The failing rows with the reason of their first error."""
+    return parsed.filter(F.size("errors") > 0).withColumn("reason", F.get("errors", F.lit(0))["reason"]).drop("errors", "fields")
+
+
+def broken_rules(parsed: DataFrame, *, keep: tuple[str, ...] = ("line_id",)) -> DataFrame:
+    """One row an error: the columns in ``keep``, rank from 1, reason, field and value."""
+    return parsed.select(*keep, F.posexplode("errors").alias("_p", "_e")).select(*keep, (F.col("_p") + 1).alias("rank"), "_e.reason", "_e.field", "_e.value")
 
 
 def accepted(parsed: DataFrame, name: str, layout: Layout, *, keep: tuple[str, ...] = ("line_id",), kind: str = "kind") -> DataFrame:

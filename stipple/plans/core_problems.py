@@ -37,6 +37,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return quarantine.rejected(_parsed(spark, d)).select("line_id", "reason")
 
 
+def p5_broken_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Every broken rule of every failing line, with its field and text."""
+    return quarantine.broken_rules(_parsed(spark, d))
+
+
 def p5_molecules(spark: SparkSession, d: str) -> DataFrame:
     """The valid molecule lines, typed."""
     return quarantine.accepted(_parsed(spark, d), "mol", quarantine.MOLECULE)
@@ -47,7 +52,7 @@ def p5_barcodes(spark: SparkSession, d: str) -> DataFrame:
     return quarantine.accepted(_parsed(spark, d), "sbcd", quarantine.BARCODE)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_per_gene, p5_found, p5_molecules, p5_barcodes)}
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_per_gene, p5_found, p5_broken_rules, p5_molecules, p5_barcodes)}
 
 _P4 = """
 WITH a AS (SELECT gene, count(*) AS left_rows, sum(count) AS left_sum FROM molecules GROUP BY gene),
@@ -78,6 +83,17 @@ ORACLES = {
     "p4_found": "SELECT gene FROM molecules WHERE gene IS NOT NULL GROUP BY gene HAVING count(*) >= 0.025 * (SELECT count(*) FROM molecules)",
     "p4_per_gene": _P4,
     "p5_found": _P5 + "SELECT line_id, reason FROM r WHERE reason IS NOT NULL",
+    "p5_broken_rules": _P5.rstrip() + rf""",
+v AS (SELECT r.line_id, i, f[i] AS value, CASE WHEN kind = 'mol' THEN ['x', 'y', 'gene', 'gene_id', 'count'][i] ELSE ['strid', 'lane', 'tile', 'px', 'py', 'mismatches'][i] END AS field
+  FROM r, range(1, 7) t(i) WHERE good AND n IS NOT NULL AND i <= n AND i <= len(f)),
+b AS (SELECT line_id, i, field, value, CASE
+    WHEN field IN ('x', 'y') THEN regexp_full_match(value, '-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?') AND coalesce(abs(TRY_CAST(value AS DOUBLE)) < 'inf'::DOUBLE, false)
+    WHEN field IN ('gene', 'gene_id', 'strid') THEN value <> ''
+    ELSE regexp_full_match(value, '[0-9]+') AND coalesce(TRY_CAST(value AS HUGEINT) <= CASE WHEN field IN ('px', 'py') THEN 9223372036854775807 ELSE 2147483647 END, false) END AS ok FROM v),
+u AS (SELECT line_id, 0 AS i, 'quoting' AS reason, NULL AS field, NULL AS value FROM r WHERE NOT good
+  UNION ALL SELECT line_id, 0, 'columns', NULL, CAST(len(f) AS VARCHAR) FROM r WHERE good AND (n IS NULL OR len(f) <> n)
+  UNION ALL SELECT line_id, i, 'value', field, value FROM b WHERE NOT ok)
+SELECT line_id, CAST(row_number() OVER (PARTITION BY line_id ORDER BY i) AS INTEGER) AS rank, reason, field, value FROM u""",
     "p5_molecules": _P5 + """SELECT line_id, f[1]::DOUBLE AS x, f[2]::DOUBLE AS y, f[3] AS gene, f[4] AS gene_id, f[5]::INTEGER AS count
 FROM r WHERE reason IS NULL AND kind = 'mol'""",
     "p5_barcodes": _P5 + """SELECT line_id, f[1] AS strid, f[2]::INTEGER AS lane, f[3]::INTEGER AS tile, f[4]::BIGINT AS px, f[5]::BIGINT AS py,

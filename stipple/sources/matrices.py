@@ -15,14 +15,14 @@ from stipple.sources import text_tables as tt
 
 def read_entries(spark: SparkSession, path: str, *, counts: int | None = None) -> DataFrame:
     """ftr, bcd, c1..cn of a coordinate matrix file; comment lines and the line of dimensions drop out."""
-    first = next((v for v in tt.head(spark, path, 1000) if not v.startswith("%")), None)
-    if first is None:
+    start = tt.head(spark, path, 1000)
+    dims = next((k for k, v in enumerate(start) if not v.startswith("%")), None)
+    if dims is None:
         raise ValueError(f"{path} has no dimensions")
-    sample = [v for v in tt.head(spark, path, 1000) if not v.startswith("%")][1:2]
+    sample = [v for v in start[dims + 1 :] if not v.startswith("%")][:1]
     n = counts or (len(sample[0].split()) - 2 if sample else 1)
-    lines = spark.read.text(path).filter(~F.col("value").startswith("%"))
     # the dimensions are the first line; an entry with the same text is told apart by its place
-    lines = tt.with_ordinals(lines).filter("ordinal > 0")
+    lines = tt.numbered(spark, path).filter((F.col("in_file") > dims) & ~F.col("value").startswith("%"))
     f = lines.select(F.split(F.trim("value"), r"\s+").alias("f"))
     at = lambda i: F.get("f", F.lit(i)).cast("bigint")
     return f.select(at(0).alias("ftr"), at(1).alias("bcd"), *(at(k + 2).alias(f"c{k + 1}") for k in range(n)))
@@ -42,7 +42,7 @@ def read_barcodes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_plain_barcodes(spark: SparkSession, path: str, *, sep: str = "\t", icol_barcode: int = 0, icol_x: int | None = None, icol_y: int | None = None) -> DataFrame:
     """nid from 1 in the file's order, strid, and x, y if their columns are given."""
-    lines = tt.with_ordinals(spark.read.text(path))
+    lines = tt.numbered(spark, path)
     f = lines.select((F.col("ordinal") + 1).alias("nid"), F.split("value", "\\Q" + sep + "\\E").alias("f"))
     at = lambda i: F.get("f", F.lit(i))
     xy = [at(i).try_cast("double").alias(n) for i, n in ((icol_x, "x"), (icol_y, "y")) if i is not None]
@@ -54,7 +54,7 @@ def read_features(spark: SparkSession, path: str, *, numbered: bool = False) ->
     if numbered:
         df = tt.read_table(spark, path, header=False, names=("id", "name", "nid", "counts"))
         return df.withColumn("nid", F.col("nid").try_cast("bigint")).withColumn("counts", ft.comma_ints(F.col("counts")))
-    f = tt.with_ordinals(spark.read.text(path)).select((F.col("ordinal") + 1).alias("nid"), F.split("value", "\t").alias("f"))
+    f = tt.numbered(spark, path).select((F.col("ordinal") + 1).alias("nid"), F.split("value", "\t").alias("f"))
     return f.select(F.get("f", F.lit(0)).alias("id"), F.coalesce(F.get("f", F.lit(1)), F.get("f", F.lit(0))).alias("name"), "nid")
 
 

@@ -79,7 +79,7 @@ def read_geojson(spark: SparkSession, path: str, *, attr: str = "cell_id", holes
 def read_vertex_table(spark: SparkSession, path: str, *, sep: str = ",", region: str = "cell_id", x: str = "vertex_x", y: str = "vertex_y") -> DataFrame:
     """region, xs, ys of a table of vertices: a region's vertices in the file's order, even if regions alternate."""
     names = [n.strip().strip("\"'") for n in tt.head(spark, path, 1)[0].split(sep)]
-    lines = tt.with_ordinals(spark.read.text(path)).filter("ordinal > 0").select("ordinal", F.split("value", "\\Q" + sep + "\\E").alias("f"))
+    lines = tt.numbered(spark, path).filter("in_file > 0").select("ordinal", F.split("value", "\\Q" + sep + "\\E").alias("f"))
     at = lambda n: F.regexp_replace(F.get("f", F.lit(names.index(n))), "^[\"']|[\"']$", "")
     v = lines.select(at(region).alias("region"), F.struct("ordinal", at(x).try_cast("double").alias("x"), at(y).try_cast("double").alias("y")).alias("v"))
     own = v.groupBy("region").agg(F.array_sort(F.collect_list("v")).alias("v"))  # the vertices of one region

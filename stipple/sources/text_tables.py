@@ -29,18 +29,40 @@ def read_all(spark: SparkSession, path: str) -> str:
     return (gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data).decode()
 
 
-def with_ordinals(lines: DataFrame, *, name: str = "ordinal") -> DataFrame:
-    """Rows of a file scan numbered from 0 in their order. Only the sizes of the partitions are counted beforehand."""
-    spark = lines.sparkSession
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in lines.schema.fields)}, `{name}` bigint"
-    return spark.createDataFrame(lines.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])), schema)
+#: Rows of the table of file splits (some 100 bytes each) up to which it is sent to all tasks.
+MAX_SPLITS = 500_000
+
+
+def numbered(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """value, file, in_file, ordinal, split_from, split_to: the lines of files with their places from 0, in their file and in all files.
+
+    Files follow each other in the order of ``path`` and, within one of its entries, of their names. A scan numbers the
+    rows of each split as they come; a first pass counts them, and where a split begins follows from the sums over the
+    splits before it. So nothing is shuffled, sorted or sent through Python. ``split_from`` and ``split_to`` are the
+    places in the file of the first and the last line of a line's split.
+    """
+    parts = None
+    for k, one in enumerate([path] if isinstance(path, str) else path):
+        scan = spark.read.text(one).select("value", F.lit(k).alias("_k"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_m"))
+        parts = scan if parts is None else parts.unionByName(scan)
+    splits = parts.groupBy("_k", "file", "_at").agg(F.min("_m").alias("_base"), F.count(F.lit(1)).alias("_n")).collect()  # one row a split
+    rows, ordinal, held, in_file = [], 0, None, 0
+    for r in sorted(splits, key=lambda r: (r["_k"], r["file"], r["_at"])):
+        in_file = in_file if held == (r["_k"], r["file"]) else 0
+        held = (r["_k"], r["file"])
+        rows.append((*held, r["_at"], ordinal - r["_base"], in_file - r["_base"], in_file, in_file + r["_n"] - 1))
+        ordinal, in_file = ordinal + r["_n"], in_file + r["_n"]
+    begins = spark.createDataFrame(rows, "_k int, file string, _at long, _o long, _f long, split_from long, split_to long")
+    joined = parts.join(F.broadcast(begins) if len(rows) <= MAX_SPLITS else begins, ["_k", "file", "_at"])
+    return joined.select("value", "file", (F.col("_m") + F.col("_f")).alias("in_file"), (F.col("_m") + F.col("_o")).alias("ordinal"), "split_from", "split_to")
 
 
 def read_lines(spark: SparkSession, path: str | Sequence[str], *, skip: int = 0, comment: str | None = None) -> DataFrame:
-    """value: lines without the first ``skip`` of each read and without comment lines."""
-    lines = spark.read.text(path if isinstance(path, str) else list(path))
+    """value: lines without the first ``skip`` of every file and without comment lines."""
     if skip:
-        lines = with_ordinals(lines).filter(F.col("ordinal") >= skip).drop("ordinal")
+        lines = numbered(spark, path).filter(F.col("in_file") >= skip).select("value")
+    else:
+        lines = spark.read.text(path if isinstance(path, str) else list(path))
     return lines.filter(~F.col("value").startswith(comment)) if comment else lines
 
 
@@ -50,26 +72,27 @@ def read_table(
     """All columns as strings, by header or by ``names``. Header names lose a leading ``strip`` character.
 
     ``sep=None`` splits at any white space. Duplicate names are an error. An empty field is an empty string; a short
-    row's missing fields are null.
+    row's missing fields are null. Every file has the header at the same line, which is checked; a later row that equals
+    it is data.
     """
     first = path if isinstance(path, str) else path[0]
     if header and names is None:
-        start = head(spark, first, skip + 200)[skip:]
-        line = next((v for v in start if not (comment and comment != strip and v.startswith(comment))), None)
-        if line is None:
+        start = head(spark, first, skip + 200)
+        at = next((k for k, v in enumerate(start) if k >= skip and not (comment and comment != strip and v.startswith(comment))), None)
+        if at is None:
             raise ValueError(f"{first} has no header")
+        line = start[at]
         names = line.split(sep) if sep else line.split()
         names = [n.lstrip(strip) if strip else n for n in names]
         names = [ft.unquote_value(n) for n in names] if unquote else names
-        drop = line
+        lines = numbered(spark, path).filter(F.col("in_file") >= at)
+        other = (F.col("in_file") == at) & (F.col("value") != line)
+        lines = lines.filter(F.when(other, F.raise_error(F.concat(F.lit("another header in "), "file")).cast("boolean")).otherwise(F.col("in_file") > at)).select("value")
     else:
-        drop = None
         names = list(names or [])
+        lines = read_lines(spark, path, skip=skip)
     if len(set(names)) < len(names):
         raise ValueError(f"duplicate column names in {first}")
-    lines = read_lines(spark, path, skip=skip)
-    if drop is not None:
-        lines = lines.filter(F.col("value") != drop)  # the header of every file
     if comment:
         lines = lines.filter(~F.col("value").startswith(comment))
     fields = F.split("value", "\\Q" + sep + "\\E") if sep else F.split(F.trim("value"), r"\s+")
@@ -122,8 +145,26 @@ def read_values(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_many(spark: SparkSession, listing: str) -> list[list[str]]:
-    """The rows of a list file: paths, or sample and paths."""
-    return [line.split() for line in read_all(spark, listing).splitlines() if line.strip()]
+    """The rows of a list file: paths, or sample and paths. A list without rows, or with rows of different lengths, is an error."""
+    rows = [line.split() for line in read_all(spark, listing).splitlines() if line.strip() and not line.startswith("#")]
+    if not rows or len({len(r) for r in rows}) > 1:
+        raise ValueError(f"{listing} is no list of files")
+    return rows
+
+
+def read_tables(spark: SparkSession, listing: str, *, sample: str = "sample", **options) -> DataFrame:
+    """The tables of a list file of (sample, path) one below the other, with the sample as a column; an empty or absent table, or another header, is an error."""
+    out, first = None, None
+    for name, path in ((r[0], r[-1]) for r in read_many(spark, listing)):
+        one = read_table(spark, path, **options)
+        first = first or one.columns
+        if one.columns != first:
+            raise ValueError(f"{path} has other columns: {one.columns}")
+        if one.isEmpty():
+            raise ValueError(f"{path} has no rows")
+        one = one.withColumn(sample, F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def read_tags(spark: SparkSession, path: str) -> DataFrame:

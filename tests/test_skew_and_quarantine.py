@@ -92,7 +92,7 @@ def test_every_rule(spark):
     lines = [(i, k, v, "kept") for i, (k, v) in enumerate(LINES + fuzz)]
     df = spark.createDataFrame(lines, "line_id long, kind string, line string, reason string")
     parsed = quarantine.parse_lines(df, {"mol": MOLECULE, "sbcd": BARCODE})
-    got = {r.line_id: (r.errors[0] if r.errors else None, list(r.fields) if r.fields is not None and not r.errors else None) for r in parsed.collect()}
+    got = {r.line_id: (r.errors[0].reason if r.errors else None, list(r.fields) if r.fields is not None and not r.errors else None) for r in parsed.collect()}
     assert got == {i: plain_reason(k, v) for i, k, v, _ in lines}
     bad = quarantine.rejected(parsed)
     assert bad.count() + sum(quarantine.accepted(parsed, k, s).count() for k, s in (("mol", MOLECULE), ("sbcd", BARCODE))) == len(lines)
@@ -106,3 +106,15 @@ def test_typed_rows_and_long_fields(spark):
     assert (row.x, row.y, row.gene_id, row["count"], len(row.gene)) == (1.0, 2.0, "id", 7, 180_000)
     assert [(r.line_id, r.reason) for r in quarantine.rejected(parsed).collect()] == [(2, "columns")]
     assert quarantine.rejected(quarantine.parse_lines(df.limit(0), {"mol": MOLECULE})).collect() == []
+
+
+def test_one_error_a_broken_rule(spark):
+    lines = [(1, "mol", "a\t\t\tENS1\tx"), (2, "sbcd", "AC\t1\t99999999999\t3\t-4"), (3, "mol", '1\t2\t"g\tENS1\t3'), (4, None, "a"), (5, "mol", "1\t2\tg\ti\t3")]
+    parsed = quarantine.parse_lines(spark.createDataFrame(lines, "line_id int, kind string, line string"), {"mol": quarantine.MOLECULE, "sbcd": quarantine.BARCODE})
+    got = {r.line_id: [tuple(e) for e in r.errors] for r in parsed.collect()}
+    assert got == {
+        1: [("value", "x", "a"), ("value", "y", ""), ("value", "gene", ""), ("value", "count", "x")],
+        2: [("columns", None, "5"), ("value", "tile", "99999999999"), ("value", "py", "-4")],
+        3: [("quoting", None, None)], 4: [("columns", None, "1")], 5: [],
+    }
+    assert quarantine.broken_rules(parsed).filter("line_id = 1").count() == 4

@@ -29,7 +29,7 @@ def test_tables(spark, tmp_path, rows):
         tt.read_table(spark, put(tmp_path / "d.tsv", "a\ta\n1\t2\n"))
     tt.write_table(typed, str(tmp_path / "out"), single=True)
     assert rows(tt.read_table(spark, str(tmp_path / "out") + "/*.gz"))[0] == ("-1.0", "", "q")
-    ordered = tt.with_ordinals(spark.read.text(put(tmp_path / "o.txt", "b\na\nc\n")))
+    ordered = tt.numbered(spark, put(tmp_path / "o.txt", "b\na\nc\n"))
     assert [(r.ordinal, r.value) for r in ordered.orderBy("ordinal").collect()] == [(0, "b"), (1, "a"), (2, "c")]
 
 
@@ -150,3 +150,30 @@ def test_pictures(spark):
     assert levels.level == 300
     with pytest.raises(ValueError):
         raster.to_image(pts, 10**5, 10**5)
+
+
+def test_places_over_splits_and_files(spark, tmp_path):
+    """Small splits: lines, headers and reads come out alike however the files are cut."""
+    reads_of = lambda n, tag: "".join(f"@{tag}{k}\n{'ACGT' * (1 + k % 5)}\n+\n{'@III' * (1 + k % 5)}\n" for k in range(n))
+    a, b = put(tmp_path / "a.fastq", reads_of(300, "a")), put(tmp_path / "b.fastq.gz", reads_of(7, "b"))
+    c = put(tmp_path / "c.tsv", "# made\nk\tv\n" + "".join(f"{k}\t{k % 3}\n" for k in range(400)) + "k\tv\n")
+    d = put(tmp_path / "d.tsv", "# made\nk\tv\n9\t9\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        assert spark.read.text(a).rdd.getNumPartitions() > 10
+        got = reads.read_fastq(spark, [b, a]).orderBy("read_id").collect()
+        assert [(r.read_id, r.name) for r in got] == list(enumerate([f"b{k}" for k in range(7)] + [f"a{k}" for k in range(300)]))
+        assert all(r.seq == "ACGT" * (1 + int(r.name[1:]) % 5) and r.qual == "@III" * (1 + int(r.name[1:]) % 5) for r in got)
+        t = tt.read_table(spark, [c, d], skip=1)
+        assert t.count() == 402 and t.filter("k = 'k'").count() == 1
+        assert tt.read_lines(spark, [c, d], skip=2).count() == 402
+        with pytest.raises(Exception, match="another header"):
+            tt.read_table(spark, [c, put(tmp_path / "e.tsv", "# made\nk\tw\n1\t2\n")], skip=1).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    listing = put(tmp_path / "list.tsv", f"s1\t{c}\ns2\t{d}\n")
+    assert {(r["sample"], r["count"]) for r in tt.read_tables(spark, listing, skip=1).groupBy("sample").count().collect()} == {("s1", 401), ("s2", 1)}
+    with pytest.raises(ValueError):
+        tt.read_tables(spark, put(tmp_path / "list2.tsv", f"s1\t{put(tmp_path / 'f.tsv', '# made' + chr(10) + 'k' + chr(9) + 'v' + chr(10))}\n"), skip=1)
