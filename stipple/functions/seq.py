@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Nucleotide ambiguity codes, the bases each stands for, and their complements.
@@ -107,6 +107,13 @@ def spaced_keys(c: Column, masks: list[str]) -> Column:
     return F.array(*keys)
 
 
+def spaced_matches(queries: DataFrame, sequences: DataFrame, masks: list[str], *, query_id: str, query: str, seq_id: str, sequence: str) -> DataFrame:
+    """query_id, seq_id, n_masks: sequences that have the query's bases at all ones of at least one mask, and of how many."""
+    keys = lambda df, ident, c: df.filter(F.col(c).isNotNull()).select(F.col(ident), F.explode(spaced_keys(F.col(c), masks)).alias("_k"))
+    met = keys(queries, query_id, query).join(keys(sequences, seq_id, sequence), "_k")
+    return met.groupBy(query_id, seq_id).agg(F.count(F.lit(1)).alias("n_masks"))
+
+
 @dataclass(frozen=True)
 class BarcodeFormat:
     """How a read's barcode is laid out: ambiguity patterns it must fit, and whether it is stored backwards."""

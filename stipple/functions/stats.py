@@ -1,14 +1,12 @@
-"""Statistics as column expressions; only the error function, which the engine lacks, is a pandas UDF."""
+"""Statistics as column expressions; functions of one value end in _value."""
 
 from __future__ import annotations
 
 import math
 from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 #: From this z on the tail is taken from its asymptotic series.
 FAR_TAIL = 10.0
@@ -39,10 +37,25 @@ def chi2_log10p_value(x: float) -> float:
     return (t2 + math.log(math.sqrt(t2 * math.pi)) - math.log1p(-1 / (2 * t2))) / math.log(10)
 
 
-@F.pandas_udf(DoubleType())
-def chi2_log10p(x: pd.Series) -> pd.Series:
-    """``chi2_log10p_value`` of a column; a null or NaN statistic gives null."""
-    return x.map(chi2_log10p_value, na_action="ignore").astype("float64").where(x.notna())
+#: Terms of the error function's series and continued fraction, and where the one takes over from the other.
+TERMS, JOINT = 60, 2.0
+
+
+def chi2_log10p(x: Column | str) -> Column:
+    """-log10 of the p-value of a statistic with one degree of freedom, of any size; null for a null or NaN statistic.
+
+    The p-value is erfc(z) with z = sqrt(x / 2): below ``JOINT`` by the power series of the error function, above by the
+    continued fraction of its complement, whose logarithm never underflows. Expressions throughout.
+    """
+    x = F.col(x) if isinstance(x, str) else x
+    z = F.sqrt(F.greatest(x, F.lit(0.0)) / 2)
+    first = F.struct(z.alias("t"), z.alias("s"))
+    step = lambda a, k: a["t"] * 2 * z * z / (k * 2 + 1)
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), first, lambda a, k: F.struct(step(a, k).alias("t"), (a["s"] + step(a, k)).alias("s")), lambda a: a["s"])
+    near = -F.log10(1 - F.exp(-z * z) * series * 2 / math.sqrt(math.pi))
+    fraction = F.aggregate(F.sequence(F.lit(TERMS), F.lit(1), F.lit(-1)), z, lambda t, k: z + k / 2 / t)
+    far = (z * z + F.log(fraction * math.sqrt(math.pi))) / math.log(10)
+    return F.when(x.isNotNull() & ~F.isnan(x), F.when(z < JOINT, near).otherwise(far))
 
 
 def fold_change(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -87,18 +100,36 @@ def cauchy_combination_value(log10p: list[float]) -> float:
     if logs:
         top = max(logs)
         log_t = top + math.log(sum(math.exp(x - top) for x in logs))
-        if small > 0:
-            log_t = max(log_t, math.log(small)) + math.log1p(math.exp(-abs(log_t - math.log(small))))
+        log_t += math.log1p(small * math.exp(-log_t))
         return (log_t - math.log(len(kept)) + math.log(math.pi)) / math.log(10)
     t = small / len(kept)
     p = 0.5 - math.atan(t) / math.pi if t < 1e8 else 1 / (t * math.pi)
     return -math.log10(p)
 
 
-@F.pandas_udf(DoubleType())
-def cauchy_combination(log10p: pd.Series) -> pd.Series:
-    """``cauchy_combination_value`` of an array column."""
-    return log10p.map(lambda v: cauchy_combination_value(list(v)), na_action="ignore").astype("float64")
+#: -log10 p from which tan((1/2 - p) pi) is 1 / (p pi) in double precision.
+TINY = 15.0
+
+
+def cauchy_combination(log10p: Column, weights: Column | None = None) -> Column:
+    """-log10 of the combined p-value of an array of -log10 p-values, by the Cauchy combination test.
+
+    ``weights`` is an array of the same length, else all weigh alike. Null and NaN values, and those of null, NaN or no
+    positive weight, are left out; null if none is left. The statistic is the weighted mean of tan((1/2 - p) pi); terms of
+    tiny p-values are added as logarithms, and the others, negative ones too, are added to their sum.
+    """
+    pairs = F.transform(log10p, lambda v: F.struct(v.alias("v"), F.lit(1.0).alias("w"))) if weights is None else F.zip_with(log10p, weights, lambda v, w: F.struct(v.cast("double").alias("v"), w.cast("double").alias("w")))
+    kept = F.filter(pairs, lambda z: z["v"].isNotNull() & ~F.isnan(z["v"]) & (z["w"] > 0) & ~F.isnan(z["w"]))
+    add = lambda a, v: a + v
+    total = F.aggregate(kept, F.lit(0.0), lambda a, z: a + z["w"])
+    mean = F.aggregate(F.transform(F.filter(kept, lambda z: z["v"] < TINY), lambda z: z["w"] * F.tan((0.5 - F.pow(F.lit(10.0), -z["v"])) * math.pi)), F.lit(0.0), add) / total
+    logs = F.transform(F.filter(kept, lambda z: z["v"] >= TINY), lambda z: F.log(z["w"] / total) + z["v"] * math.log(10) - math.log(math.pi))
+    top = F.array_max(logs)
+    # log of the tiny terms' sum; beside it the others are a factor 1 + mean / sum
+    log_sum = top + F.log(F.aggregate(F.transform(logs, lambda v: F.exp(v - top)), F.lit(0.0), add))
+    log_t = log_sum + F.log1p(mean * F.exp(-log_sum))
+    tail = F.when(mean > 1e8, 1 / (mean * math.pi)).otherwise(0.5 - F.atan(mean) / math.pi)
+    return F.when(F.size(kept) > 0, F.when(F.size(logs) > 0, (log_t + math.log(math.pi)) / math.log(10)).otherwise(-F.log10(tail)))
 
 
 def significant(c: Column, digits: int) -> Column:

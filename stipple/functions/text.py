@@ -78,7 +78,7 @@ def is_digits(c: Column) -> Column:
     return c.rlike(r"\A[0-9]+\z")
 
 
-def numeric_order(c: Column) -> list[Column]:
-    """Sort keys: all-digit texts by value before the others by bytes."""
-    number = F.when(is_digits(c), c.try_cast("decimal(38,0)"))
-    return [number.asc_nulls_last(), c.asc()]
+def coordinate(c: Column, digits: int = 2) -> Column:
+    """A coordinate as text: an integer without decimals, any other with a fixed number of them."""
+    value = c.cast("double")
+    return F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(F.format_string(f"%.{digits}f", value))

@@ -235,3 +235,8 @@ def match_distance(joined: DataFrame, d2: str = "d2") -> DataFrame:
 def quantile_disc(df: DataFrame, column: str, q: float, keys: Sequence[str] = ()) -> DataFrame:
     """The discrete quantile per key."""
     return df.groupBy(*keys).agg(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY `{column}`)").alias("quantile"))
+
+
+def segment_pixels(mask: DataFrame, segment: str = "seg") -> DataFrame:
+    """Per segment other than 0: its pixels (i, j) in order. A list is as long as the segment is large."""
+    return mask.filter(F.col(segment) != 0).groupBy(segment).agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("pixels"))

@@ -22,11 +22,18 @@ def required(left: DataFrame, right: DataFrame, on: str | Sequence[str], *, mark
     return out.withColumn(marker, F.when(F.col(marker).isNull(), F.raise_error(message).cast(dict(out.dtypes)[marker])).otherwise(F.col(marker)))
 
 
-def matrix_entries(mtx: DataFrame, barcodes: DataFrame, features: DataFrame) -> DataFrame:
-    """Matrix entries (ftr, bcd, counts) with their barcode (by nid) and feature (by nid) rows; feature columns get the prefix ftr_."""
+def matrix_entries(mtx: DataFrame, barcodes: DataFrame, features: DataFrame, *, strict: bool = True) -> DataFrame:
+    """Matrix entries (ftr, bcd, counts) with their barcode (by nid) and feature (by nid) rows; feature columns get the prefix ftr_.
+
+    An entry without a barcode is an error, one without a feature too if ``strict``; else it drops out, as with chosen
+    features.
+    """
     ftr = features.withColumnsRenamed({c: f"ftr_{c}" for c in features.columns}).withColumnRenamed("ftr_nid", "ftr")
-    bcd = barcodes.withColumnRenamed("nid", "bcd")
-    return mtx.join(bcd, "bcd").join(ftr, "ftr")
+    bcd = barcodes.withColumnRenamed("nid", "bcd").withColumn("_b", F.lit(True))
+    out = required(mtx, bcd, "bcd", marker="_b", what="barcode").filter("_b").drop("_b")
+    if not strict:
+        return out.join(ftr, "ftr")
+    return required(out, ftr.withColumn("_f", F.lit(True)), "ftr", marker="_f", what="feature").filter("_f").drop("_f")
 
 
 def positions(df: DataFrame, pos: DataFrame, *, barcode: str = "barcode") -> DataFrame:

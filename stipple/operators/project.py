@@ -158,3 +158,20 @@ def relay_fastq(df: DataFrame, *, skip: int = 0, len_bcd: int = 30, len_umi: int
     if revcomp_r2:
         s2, q2 = seq.revcomp(s2), seq.rev(q2)
     return df.withColumns({"seq1": F.concat(b, umi), "qual1": F.concat(q, umi_q), "seq2": s2, "qual2": q2})
+
+
+def grid_offsets(layout: DataFrame, extents: DataFrame, *, on: str = "tile") -> DataFrame:
+    """Adds x_offset and y_offset to a layout of (on, row, col): the heights of all rows and widths of all columns before.
+
+    A row is as high as its highest tile (xmax - xmin + 1), a column as wide as its widest (ymax - ymin + 1); rows and
+    columns without tiles take no room. ``extents`` has on, xmin, xmax, ymin, ymax. Rows and columns below 1 are an error.
+    The running sums are over one row a grid row or column.
+    """
+    own = layout.join(extents.select(on, (F.col("xmax") - F.col("xmin") + 1).alias("_h"), (F.col("ymax") - F.col("ymin") + 1).alias("_w")), on)
+    bad = (F.col("row") < 1) | (F.col("col") < 1)
+    own = own.withColumn("row", F.when(bad, F.raise_error("rows and columns start at 1").cast(dict(own.dtypes)["row"])).otherwise(F.col("row")))
+    for key, size, name in (("row", "_h", "x_offset"), ("col", "_w", "y_offset")):
+        before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+        sums = own.groupBy(key).agg(F.max(size).alias("_s")).select(key, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias(name))
+        own = own.join(sums, key)
+    return own.select(*layout.columns, "x_offset", "y_offset")

@@ -5,9 +5,10 @@ A picture has width x height pixels whatever the number of points, and ``to_imag
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,3 +117,54 @@ def to_image(df: DataFrame, width: int, height: int, channels: Sequence[str] = (
     image = np.zeros((height, width, len(channels)), dtype=np.uint8)
     image[table["py"].to_numpy(), table["px"].to_numpy()] = table[list(channels)].to_numpy()
     return image
+
+
+def unit_picture(df: DataFrame, per_pixel: float, *, x: str = "x", y: str = "y", unit: str = "unit", color: str = "color", count: str = "count", q: float | None = 0.99, xmin: float = 0.0, ymin: float = 0.0) -> DataFrame:
+    """px, py, r, g, b: units in their hex colors, each scaled so that the quantile of its sums per pixel is full color.
+
+    With ``q=None`` a count is full color. Channels are added over the units and saturated. Rows without a unit, a
+    readable color or a positive count are passed over.
+    """
+    own = pixels(df, x, y, per_pixel, xmin=xmin, ymin=ymin).filter(F.col("px").isNotNull() & F.col("py").isNotNull() & F.col(unit).isNotNull() & (F.col(count) > 0))
+    sums = own.groupBy(unit, color, "px", "py").agg(F.sum(count).alias("s"))
+    if q is None:
+        sums = sums.withColumn("level", F.lit(1.0))
+    else:
+        sums = sums.join(sums.groupBy(unit).agg(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY s)").alias("level")), unit)
+    rgb = ft.hex_color(F.col(color))
+    own = sums.withColumn("_c", rgb).filter("_c IS NOT NULL").withColumn("_f", F.least(F.lit(1.0), F.col("s") / F.col("level")))
+    channels = [F.least(F.lit(255), F.sum(F.floor(F.col(f"_c.{k}") * F.col("_f")))).cast("int").alias(k) for k in "rgb"]
+    return own.groupBy("px", "py").agg(*channels)
+
+
+def filled_regions(regions: DataFrame, *, order: str, color: str = "color", xs: str = "xs", ys: str = "ys", opacity: float = 0.5, scale: float = 1.0, xmin: float = 0.0, ymin: float = 0.0) -> DataFrame:
+    """px, py, r, g, b: regions filled in their hex colors and blended over black in an order, pixel by pixel.
+
+    ``fill_polygons`` over a table: every region is filled where it is, and what covers a pixel meets there alone.
+    """
+    kind = dict(regions.dtypes)[order]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at, c, a, b in zip(pdf["at"], pdf["c"], pdf["xs"], pdf["ys"]):
+                i, j = geom.scan_fill((np.asarray(a, dtype=float) - xmin) / scale, (np.asarray(b, dtype=float) - ymin) / scale)
+                if len(i):
+                    yield pd.DataFrame({"px": i, "py": j, "at": at, "c": c})
+
+    usable = regions.filter((F.size(xs) == F.size(ys)) & (F.size(xs) >= 3)).select(F.col(order).alias("at"), F.col(color).alias("c"), F.col(xs).alias("xs"), F.col(ys).alias("ys"))
+    own = usable.mapInPandas(run, f"px long, py long, at {kind}, c string").withColumn("c", ft.hex_color(F.col("c"))).filter("c IS NOT NULL")
+    stack = own.groupBy("px", "py").agg(F.array_sort(F.collect_list(F.struct("at", "c"))).alias("_s"))
+    blend = lambda k: F.aggregate("_s", F.lit(0.0), lambda v, z: v * (1 - opacity) + z["c"][k] * opacity)
+    return stack.select("px", "py", *(F.floor(blend(k) + 0.5).cast("int").alias(k) for k in "rgb"))
+
+
+def rgba(image: DataFrame, *, rgb: str = "FFFFFF", below: int = 0, above: int = 255, how: str = "constant", alpha_max: int = 255, linear: float = 1.0, root: float = 16.0, invert_alpha: bool = False) -> DataFrame:
+    """px, py, r, g, b, a of gray pixels (px, py, value): ``gray_to_rgba`` as expressions."""
+    if how not in ("constant", "linear", "sqrt"):
+        raise ValueError("how must be 'constant', 'linear' or 'sqrt'")
+    g = F.col("value").cast("double")
+    alpha = {"constant": F.lit(float(alpha_max)), "linear": g * linear, "sqrt": F.sqrt(g) * root}[how]
+    alpha = F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.rint(alpha)))
+    alpha = 255 - alpha if invert_alpha else alpha
+    shown = F.when((F.col("value") < below) | (F.col("value") > above), 0).otherwise(alpha).cast("int").alias("a")
+    return image.select("px", "py", *(F.lit(v).alias(k) for k, v in zip("rgb", ft.hex_color_value(rgb))), shown)

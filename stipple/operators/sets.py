@@ -28,11 +28,6 @@ def merged_dictionary(samples: DataFrame, *, sample: str = "sample_id", feature:
     return ordering.dense_ids(first, ["_first", feature], name="idx").select(feature, (F.col("idx") - 1).alias("idx"))
 
 
-def remap(long: DataFrame, dictionary: DataFrame, *, feature: str = "feature") -> DataFrame:
-    """Counts with the merged index; features outside of the dictionary drop out."""
-    return long.join(dictionary, feature)
-
-
 def union_grids(parts: Sequence[DataFrame], offsets: Sequence[tuple[float, float]], *, ident: str = "strid", x: str = "px", y: str = "py") -> DataFrame:
     """Barcodes of several grids in one: ids get the prefix 'i_', coordinates move by the grid's offset and not below 0, lane and tile become 1."""
     out = None
@@ -65,3 +60,15 @@ def common(parts: Sequence[DataFrame], column: str) -> DataFrame:
 def without(df: DataFrame, other: DataFrame, column: str) -> DataFrame:
     """Distinct values that another table doesn't have."""
     return df.select(column).distinct().join(other.select(column).distinct(), column, "left_anti")
+
+
+def union_by_layout(barcodes: DataFrame, placed: DataFrame, *, on: str = "tile", ident: str = "strid", x: str = "px", y: str = "py") -> DataFrame:
+    """``union_grids`` by tables: barcodes with their grid ``on``, and per grid xmin, ymin, x_offset, y_offset.
+
+    Ids get the grid as prefix, coordinates start at the grid's offset and are not below 0, lane and tile become 1.
+    Barcodes of a grid without a place drop out.
+    """
+    own = barcodes.join(placed.select(on, F.col("xmin").alias("_x0"), F.col("ymin").alias("_y0"), "x_offset", "y_offset"), on)
+    at = lambda c, low, off: F.greatest((F.col(c) - F.col(low) + F.col(off)).cast("double"), F.lit(0.0)).alias(c)
+    rest = [c for c in barcodes.columns if c not in (ident, x, y, "lane", "tile", on)]
+    return own.select(F.concat(F.col(on).cast("string"), F.lit("_"), ident).alias(ident), at(x, "_x0", "x_offset"), at(y, "_y0", "y_offset"), F.lit(1).alias("lane"), F.lit(1).alias("tile"), *rest)

@@ -111,7 +111,7 @@ def molecules_of(entries: DataFrame, barcodes: DataFrame, features: DataFrame, c
     """A matrix with coordinates as molecule rows X, Y, gene, gene_id and counts; feature totals and the extent of all barcodes."""
     chosen = filters.features(features, "name", **match) if match else features
     own = entries if keep_zero else filters.positive(entries, counts)
-    rows = joins.matrix_entries(own, barcodes, chosen).select((F.col("x") / units_per_um).alias("X"), (F.col("y") / units_per_um).alias("Y"), F.col("ftr_name").alias("gene"), F.col("ftr_id").alias("gene_id"), *counts)
+    rows = joins.matrix_entries(own, barcodes, chosen, strict=not match).select((F.col("x") / units_per_um).alias("X"), (F.col("y") / units_per_um).alias("Y"), F.col("ftr_name").alias("gene"), F.col("ftr_id").alias("gene_id"), *counts)
     totals = rows.groupBy("gene", "gene_id").agg(*(F.sum(c).alias(c) for c in counts))
     return {"molecules": rows, "features": totals, "extent": aggregates.extent(project.to_units(barcodes, ["x", "y"], units_per_um))}
 

@@ -47,9 +47,18 @@ _RING = [(100.0, 100.0), (420.5, 80.25), (500.0, 400.0), (300.0, 250.0), (120.0,
 
 
 # --- projections -----------------------------------------------------------------------------------------------------
-@query("SELECT mol_id AS id, gene AS feature, 'a' AS sample, x, y, gene_id, count, loaded_at FROM molecules")
+# NaN passes through the operators; results state it as null and a column that tells, since NaN equals nothing
+def plain(c: str) -> tuple[Column, Column]:
+    return F.when(~F.isnan(c), F.col(c)).alias(c), F.isnan(c).alias(f"{c}_nan")
+
+
+_PLAIN = "CASE WHEN NOT isnan({0}) THEN {0} END AS {0}, coalesce(isnan({0}), false) AS {0}_nan"
+
+
+@query(f"SELECT mol_id AS id, gene AS feature, 'a' AS sample, {_PLAIN.format('x')}, {_PLAIN.format('y')}, gene_id, count, loaded_at FROM molecules")
 def choose_columns(spark, d):
-    return project.choose(_mol(spark, d), "mol_id:id,gene:feature,:sample:a", include_rest=True)
+    out = project.choose(_mol(spark, d), "mol_id:id,gene:feature,:sample:a", include_rest=True)
+    return out.select("id", "feature", "sample", *plain("x"), *plain("y"), "gene_id", "count", "loaded_at")
 
 
 @query("SELECT mol_id, gene, count FROM molecules")
@@ -73,9 +82,11 @@ def affine_coordinates(spark, d):
     return project.affine(load(spark, d, "pixel_factors").select("pix_id", "x", "y"), {"x": (100.0, 7.5), "y": (100.0, -2.0)})
 
 
-@query(f"SELECT mol_id, greatest(x + 10.0::DOUBLE - 50.0::DOUBLE, 0) AS x FROM {_GOOD}")
+@query("SELECT mol_id, CASE WHEN NOT isnan(x) THEN greatest(x + 10.0::DOUBLE - 50.0::DOUBLE, 0) END AS x FROM molecules")
 def shifted_coordinates(spark, d):
-    return project.shift_to_origin(_good(spark, d).select("mol_id", "x"), {"x": (10.0, 50.0)})
+    out = project.shift_to_origin(_mol(spark, d).filter("x IS NOT NULL AND NOT isnan(x)").select("mol_id", "x"), {"x": (10.0, 50.0)})
+    rest = _mol(spark, d).filter("x IS NULL OR isnan(x)").select("mol_id", F.lit(None).cast("double").alias("x"))
+    return out.unionByName(rest)
 
 
 _TILES = "SELECT lane, tile, min(px) AS xmin, max(px) AS xmax, min(py) AS ymin, max(py) AS ymax FROM sbcd_recs WHERE tile IS NOT NULL GROUP BY ALL"
@@ -216,13 +227,11 @@ def feature_lookup(spark, d):
 
 
 @query(
-    "WITH u AS (SELECT l_suppkey AS bcd, l_partkey AS ftr, CAST(l_quantity AS BIGINT) AS a, 0 AS b FROM lineitem WHERE l_linenumber = 1 "
-    "UNION ALL SELECT l_suppkey, l_partkey, 0, CAST(l_quantity AS BIGINT) FROM lineitem WHERE l_linenumber = 2) "
-    "SELECT bcd, ftr, CAST(sum(a) AS BIGINT) AS c1, CAST(sum(b) AS BIGINT) AS c2 FROM u GROUP BY ALL HAVING sum(a) <> 0 OR sum(b) <> 0"
+    "SELECT l_suppkey AS bcd, l_partkey AS ftr, " + ", ".join(f"CAST(sum(CASE WHEN l_linenumber = {k} THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS BIGINT) AS c{k}" for k in range(1, 8)) + " FROM lineitem GROUP BY ALL HAVING sum(l_quantity) <> 0"
 )
 def full_outer_zero_fill(spark, d):
     rows = load(spark, d, "lineitem").select(F.col("l_suppkey").alias("bcd"), F.col("l_partkey").alias("ftr"), F.col("l_quantity").cast("bigint").alias("cnt"), "l_linenumber")
-    return joins.merge_matrices([rows.filter("l_linenumber = 1"), rows.filter("l_linenumber = 2")])
+    return joins.merge_matrices([rows.filter(F.col("l_linenumber") == k) for k in range(1, 8)])
 
 
 @query(
@@ -616,10 +625,11 @@ def topk_argmax(spark, d):
     return ordering.argmax_columns(load(spark, d, "de_entries"), ["chi2", "fc", "log10p"]).select("entry_id", "topP", "topK")
 
 
-@query("SELECT pix_id, CAST(k - 1 AS INTEGER) AS pos, factors[k] AS factor, probs[k] AS prob FROM pixel_factors, (VALUES (1), (2)) t(k) WHERE k <= len(factors)")
+@query(f"SELECT pix_id, pos, factor, {_PLAIN.format('prob')} FROM (SELECT pix_id, CAST(k - 1 AS INTEGER) AS pos, factors[k] AS factor, probs[k] AS prob FROM pixel_factors, (VALUES (1), (2)) t(k) WHERE k <= len(factors))")
 def first_k_entries(spark, d):
     rows = ordering.first_k(load(spark, d, "pixel_factors").select("pix_id", "factors", "probs"), ["factors", "probs"], 2)
-    return rows.select("pix_id", F.posexplode(F.arrays_zip("factors", "probs")).alias("pos", "z")).select("pix_id", "pos", F.col("z.factors").alias("factor"), F.col("z.probs").alias("prob"))
+    rows = rows.select("pix_id", F.posexplode(F.arrays_zip("factors", "probs")).alias("pos", "z")).select("pix_id", "pos", F.col("z.factors").alias("factor"), F.col("z.probs").alias("prob"))
+    return rows.select("pix_id", "pos", "factor", *plain("prob"))
 
 
 @query("SELECT count(*) = 0 AS sorted FROM (SELECT lag(read_at) OVER (ORDER BY rec_id) AS p, read_at FROM sbcd_recs) WHERE p > read_at")
@@ -643,14 +653,11 @@ def merged_dictionary(spark, d):
 
 
 @query(
-    "SELECT '1_' || strid AS strid, greatest(px::DOUBLE - 1000, 0) AS px, greatest(py::DOUBLE, 0) AS py, 1 AS lane, 1 AS tile FROM sbcd_recs WHERE lane = 1 UNION ALL "
-    "SELECT '2_' || strid, greatest(px::DOUBLE + 500, 0), greatest(py::DOUBLE + 500, 0), 1, 1 FROM sbcd_recs WHERE lane = 2"
+    "SELECT (lane + 1) || '_' || strid AS strid, greatest(px::DOUBLE + (lane - 2) * 500, 0) AS px, greatest(py::DOUBLE + lane * 250, 0) AS py, 1 AS lane, 1 AS tile FROM sbcd_recs WHERE lane BETWEEN 0 AND 4"
 )
 def union_grids(spark, d):
-    s = load(spark, d, "sbcd_recs")
-    cols = ["strid", "px", "py", "lane", "tile"]
-    keep = lambda lane: s.filter(F.col("lane") == lane).select(*cols)
-    return sets.union_grids([keep(1), keep(2)], [(-1000.0, 0.0), (500.0, 500.0)])
+    s = load(spark, d, "sbcd_recs").select("strid", "px", "py", "lane", "tile")
+    return sets.union_grids([s.filter(F.col("lane") == k) for k in range(5)], [((k - 2) * 500.0, k * 250.0) for k in range(5)])
 
 
 @query("SELECT strid, arg_min(rec_id, rec_id) AS rec_id, count(*) AS ndups FROM sbcd_recs WHERE strid IS NOT NULL GROUP BY strid")
@@ -700,15 +707,29 @@ def de_fallback(spark, d):
     return ordering.passing_or_best(rows, "factor", (F.col("chi2") >= 6) & (F.col("fc") >= 1.02), F.col("fc") >= 1, [F.desc("chi2"), F.asc("feature")])
 
 
-@query()
+_Z = "sqrt(chi2 / 2)"
+_LOG10P = (
+    f"CASE WHEN {_Z} < 2 THEN -log10(1 - exp(-chi2 / 2) * 2 / sqrt(pi()) * list_sum(list_transform(range(0, 61), lambda k: pow({_Z}, 2 * k + 1) * list_reduce(range(1, k + 1), lambda p, i: p * 2 / (2 * i + 1), 1.0::DOUBLE)))) "
+    f"ELSE (chi2 / 2 + ln(sqrt(pi()) * list_reduce(range(60, 0, -1), lambda t, k: {_Z} + k / 2.0 / t, {_Z}))) / ln(10.0) END"
+)
+
+
+@query(
+    _ABCD + f", r AS (SELECT feature, factor, a, b, c, d, {_X2} AS chi2, a * d / (b * c) AS fc FROM q), l AS (SELECT *, {_LOG10P} AS log10p, "
+    "exp(ln(fc) - 3.090232306167813::DOUBLE * sqrt(1 / a + 1 / b + 1 / c + 1 / d)) AS fc_low FROM r), k AS (SELECT *, a >= 10 AND fc >= 1.01 AND log10p >= -log10(0.05) AS ok FROM l), "
+    "s AS (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY CASE WHEN fc >= 1 THEN 0 ELSE 1 END, log10p DESC, feature) AS rn, count_if(ok) OVER (PARTITION BY factor) AS n FROM k) "
+    f"SELECT feature, factor, {_CUT.format('log10p')} AS log10p, {_CUT.format('fc_low')} AS fc_low FROM s WHERE ok OR (n = 0 AND rn = 1 AND fc >= 1)"
+)
 def de_p_values(spark, d):
-    """The same with -log10 p and the bound of the fold change; the error function is tested against constants."""
-    return diffexp.report(diffexp.marginal(_bulk(spark, d)), max_pval=0.05, min_fc=1.01, min_count=10)
+    """The same with -log10 p and the bound of the fold change."""
+    out = diffexp.report(diffexp.marginal(_bulk(spark, d)), max_pval=0.05, min_fc=1.01, min_count=10)
+    return out.select("feature", "factor", fixed(F.col("log10p")).alias("log10p"), fixed(F.col("fc_low")).alias("fc_low"))
 
 
-@query(f"SELECT entry_id, {_CUT.format('greatest(a, b) + ln(1 + exp(-abs(a - b)))')} AS s FROM (SELECT entry_id, log10p AS a, fc AS b FROM de_entries WHERE log10p BETWEEN 0 AND 100 AND fc BETWEEN 0 AND 100)")
+@query(f"SELECT entry_id, {_CUT.format('greatest(a, b) + ln(1 + exp(-abs(a - b)))')} AS s FROM (SELECT entry_id, log10p AS a, fc AS b FROM de_entries WHERE abs(log10p) < 1e9 AND abs(fc) < 1e9)")
 def log_sums(spark, d):
-    rows = load(spark, d, "de_entries").filter("log10p BETWEEN 0 AND 100 AND fc BETWEEN 0 AND 100")
+    # all finite values; NaN is above everything
+    rows = load(spark, d, "de_entries").filter("abs(log10p) < 1e9 AND abs(fc) < 1e9")
     return rows.select("entry_id", fixed(stats.log_add(F.col("log10p"), F.col("fc"))).alias("s"))
 
 

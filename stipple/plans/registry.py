@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from stipple.plans import core_problems, core_queries
+from stipple.plans import core_problems, core_queries, io_queries, more_queries
 
-_MODULES = (core_problems, core_queries)
+_MODULES = (core_problems, core_queries, io_queries, more_queries)
 
 
 def queries() -> dict[str, Callable]:

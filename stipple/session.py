@@ -10,6 +10,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a table that may be shuffled to reach all cores.
+SPREAD_BYTES = 4 << 30
+
+
 def get_session(app: str = "stipple", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators assume: UTC and adaptive execution."""
     builder = (
@@ -49,6 +53,38 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed by ``release`` or at the end of the process."""
+    path = f"{shared_dir(spark)}/stipple-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(release)
+    _made.append((spark, path))
+    return path
+
+
+def release() -> None:
+    """Removes the intermediate tables made so far; what was built on them can't be computed any more."""
+    while _made:
+        spark, path = _made.pop()
+        try:
+            jvm = spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        except Exception:  # the session may be gone
+            continue
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """One small file, through the file system of Spark."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(where)
+    out.write(bytearray(data))
+    out.close()
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Cuts the lineage: writes ``df`` to the shared folder and reads it back.
 
@@ -56,15 +92,16 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     those columns reads only the directories it needs.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stipple-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` on all cores before a costly pass: a table read in fewer splits than there are cores is repartitioned.
+    """``df`` on all cores before a costly pass: a small table read in fewer splits than there are cores is repartitioned.
 
-    A large table has more splits and stays as it is, without a shuffle.
+    A table of more than ``SPREAD_BYTES`` stays as it is and is never shuffled, whatever the number of cores.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df

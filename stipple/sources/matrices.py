@@ -156,8 +156,8 @@ def sparse_to_long(rows: DataFrame, dictionary: DataFrame, unit: Sequence[str])
 
 
 def read_pseudobulk(spark: SparkSession, path: str) -> DataFrame:
-    """feature, factor, cnt of a wide matrix whose first column is the feature; unreadable cells are an error."""
-    df = tt.read_table(spark, path)
+    """feature, factor, cnt of a wide matrix whose first column is the feature; ragged rows and unreadable cells are an error."""
+    df = tt.read_table(spark, path, strict=True)
     first, rest = df.columns[0], [c for c in df.columns[1:] if c != ""]
     return df.select(F.col(f"`{first}`").alias("feature"), *(F.col(f"`{c}`").cast("double").alias(c) for c in rest)).unpivot("feature", rest, "factor", "cnt")
 

@@ -148,3 +148,16 @@ def read_gray_png(data: bytes) -> np.ndarray:
                 corner, line[i] = above, left
         out[j] = up = line
     return out.astype(np.uint8)
+
+
+def read_pictures(spark: SparkSession, path: str) -> DataFrame:
+    """file, px, py, value: the pixels that aren't black of 8-bit gray pictures, each read in a task."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"]):
+                image = read_gray_png(bytes(content))
+                y, x = np.nonzero(image)
+                yield pd.DataFrame({"file": name, "px": x.astype(np.int64), "py": y.astype(np.int64), "value": image[y, x].astype(np.int32)})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "file string, px long, py long, value int")

@@ -23,10 +23,9 @@ def head(spark: SparkSession, path: str, lines: int) -> list[str]:
 
 
 def read_all(spark: SparkSession, path: str) -> str:
-    """The text of one small file."""
-    row = spark.read.format("binaryFile").load(path).select("content").first()
-    data = bytes(row["content"])
-    return (gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data).decode()
+    """The text of one small file, or of the part files of a small folder."""
+    data = [bytes(r["content"]) for r in spark.read.format("binaryFile").load(path).orderBy("path").select("content").collect()]
+    return b"".join(gzip.decompress(d) if d[:2] == b"\x1f\x8b" else d for d in data).decode()
 
 
 #: Rows of the table of file splits (some 100 bytes each) up to which it is sent to all tasks.
@@ -67,7 +66,7 @@ def read_lines(spark: SparkSession, path: str | Sequence[str], *, skip: int = 0,
 
 
 def read_table(
-    spark: SparkSession, path: str | Sequence[str], *, sep: str = "\t", header: bool = True, names: Sequence[str] | None = None, skip: int = 0, comment: str | None = None, strip: str | None = None, unquote: bool = False
+    spark: SparkSession, path: str | Sequence[str], *, sep: str = "\t", header: bool = True, names: Sequence[str] | None = None, skip: int = 0, comment: str | None = None, strip: str | None = None, unquote: bool = False, strict: bool = False
 ) -> DataFrame:
     """All columns as strings, by header or by ``names``. Header names lose a leading ``strip`` character.
 
@@ -96,6 +95,9 @@ def read_table(
     if comment:
         lines = lines.filter(~F.col("value").startswith(comment))
     fields = F.split("value", "\\Q" + sep + "\\E") if sep else F.split(F.trim("value"), r"\s+")
+    if strict:  # a row with more or fewer fields is an error
+        ragged = F.raise_error(F.concat(F.lit("ragged row: "), F.substring("value", 1, 80))).cast("array<string>")
+        fields = F.when(F.size(fields) == len(names), fields).otherwise(ragged)
     out = lines.select(fields.alias("f"))
     value = lambda i: F.get("f", F.lit(i))
     return out.select(*((ft.unquote(value(i)) if unquote else value(i)).alias(n) for i, n in enumerate(names)))
@@ -242,3 +244,40 @@ def bins_json(bins: DataFrame) -> str:
     """The JSON array of (gene, count, bin) in byte order of the genes; one entry a feature."""
     rows = bins.select("gene", "count", "bin").orderBy("gene").collect()
     return json.dumps([r.asDict() for r in rows])
+
+
+def write_tiles(df: DataFrame, folder: str, *, lane: str = "lane", tile: str = "tile", levels: Sequence[str] = ("all", "lane", "tile"), **options) -> None:
+    """A table at three levels: folder/all, folder/lane/lane=..., folder/tile/lane=.../tile=...; one file a task and folder."""
+    for level, keys in (("all", ()), ("lane", (lane,)), ("tile", (lane, tile))):
+        if level in levels:
+            write_table(df, f"{folder}/{level}", partition_by=keys, **options)
+
+
+def write_bins(molecules: DataFrame, index: DataFrame, folder: str, *, columns: Sequence[str] | None = None, rename: dict[str, str] | None = None, skip_original: bool = False, **options) -> None:
+    """Molecules with their ``bin``: folder/all (every row), folder/bins/bin=..., and folder/index.
+
+    ``columns`` makes the tables of the bins compact, ``rename`` renames their columns, ``skip_original`` leaves all out.
+    Rows without a bin, or of bin 0, are in folder/all only.
+    """
+    rename = rename or {}
+    own = molecules.select("bin", *(F.col(c).alias(rename.get(c, c)) for c in (columns or [c for c in molecules.columns if c != "bin"])))
+    if not skip_original:
+        write_table(molecules, f"{folder}/all", **options)
+    write_table(own.filter("bin > 0"), f"{folder}/bins", partition_by=["bin"], **options)
+    write_table(index, f"{folder}/index", single=True, compress=False)
+
+
+def write_batches(df: DataFrame, folder: str, *, most: int, **options) -> DataFrame:
+    """Files of at most ``most`` rows in folder/batches and their list: file, rows, which is also written to folder/manifest."""
+    write_table(df, f"{folder}/batches", max_records=most, header=False, **options)
+    spark = df.sparkSession
+    made = spark.read.text(f"{folder}/batches").select(F.col("_metadata.file_name").alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
+    write_table(made.orderBy("file"), f"{folder}/manifest", single=True, compress=False)
+    return made
+
+
+def write_bounds(df: DataFrame, path: str, x: str, y: str) -> None:
+    """The bounds of two columns as key and value lines, as ``read_minmax`` reads them."""
+    one = df.agg(F.min(x).alias("xmin"), F.max(x).alias("xmax"), F.min(y).alias("ymin"), F.max(y).alias("ymax"))
+    tall = one.select(F.explode(F.array(*(F.concat_ws("\t", F.lit(k), F.col(k).cast("string")) for k in ("xmin", "xmax", "ymin", "ymax")))).alias("value"))
+    tall.coalesce(1).write.text(path)
