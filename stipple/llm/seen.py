@@ -16,9 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stipple.session import materialize
+
 #: Rows of a map task within which repeats are settled at once.
 CHUNK = 400_000
 
@@ -40,8 +42,7 @@ class EliasFano:
         ones = np.zeros(-(-(n + self.buckets) // 64) * 64, dtype=np.uint8)
         ones[at] = 1
         self.unary = np.packbits(ones, bitorder="little").view(np.uint64)
-        counts = np.bitwise_count(self.unary).astype(np.int64)
-        self.rank = (np.cumsum(counts) - counts).astype(np.uint32 if n < 2**32 else np.int64)
+        self._direct()
         self.low = np.zeros(n * self.low_bits // 64 + 2, dtype=np.uint64)
         if self.low_bits:
             low = values & np.uint64((1 << self.low_bits) - 1)
@@ -51,9 +52,28 @@ class EliasFano:
             over = (off + width) > np.uint64(64)
             np.bitwise_or.at(self.low, word[over] + 1, low[over] >> (np.uint64(64) - off[over]))
 
+    def _direct(self) -> None:
+        """The rank directory: how many zeros, ends of buckets, stand before each word."""
+        ones = np.bitwise_count(self.unary).astype(np.int64)
+        zeros = np.arange(len(ones), dtype=np.int64) * 64 - (np.cumsum(ones) - ones)
+        self.zeros = zeros.astype(np.uint32 if self.buckets < 2**32 - 64 else np.int64)
+
+    def to_row(self) -> tuple[int, int, int, bytes, bytes]:
+        """n, low_bits, buckets, unary, low: what an index keeps of it."""
+        return (self.n, self.low_bits, self.buckets, self.unary.tobytes(), self.low.tobytes()) if self.n else (0, self.low_bits, 0, b"", b"")
+
+    @classmethod
+    def from_row(cls, bits: int, n: int, low_bits: int, buckets: int, unary: bytes, low: bytes) -> EliasFano:
+        out = cls.__new__(cls)
+        out.n, out.bits, out.low_bits, out.buckets = n, bits, low_bits, buckets
+        if n:
+            out.unary, out.low = np.frombuffer(unary, dtype=np.uint64), np.frombuffer(low, dtype=np.uint64)
+            out._direct()
+        return out
+
     @property
     def nbytes(self) -> int:
-        return self.unary.nbytes + self.rank.nbytes + self.low.nbytes if self.n else 0
+        return self.unary.nbytes + self.zeros.nbytes + self.low.nbytes if self.n else 0
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         """The low bits of the values at positions i."""
@@ -71,9 +91,8 @@ class EliasFano:
         out = np.zeros(len(bucket), dtype=np.int64)
         k = np.flatnonzero(bucket > 0)
         zero = bucket[k] - 1
-        before = np.arange(len(self.unary), dtype=np.int64) * 64 - self.rank
-        word = np.searchsorted(before, zero, "right") - 1
-        left = zero - before[word]
+        word = np.searchsorted(self.zeros, zero.astype(self.zeros.dtype), "right") - 1
+        left = zero - self.zeros[word]
         bits = ~self.unary[word]
         at = np.zeros(len(k), dtype=np.int64)
         for step in (32, 16, 8, 4, 2, 1):
@@ -212,6 +231,62 @@ def seen_before(records: DataFrame, earlier: DataFrame | None, *, key: str, reco
     return placed.mapInPandas(_probe(bits), "id long").withColumnRenamed("id", record_id)
 
 
+class SeenIndex:
+    """Keys seen so far, kept on disk between batches: Elias-Fano runs of ``parts`` hash partitions in a folder.
+
+    ``probe`` answers a batch and merges its new keys: only the batch is shuffled, and of earlier keys only the coded runs
+    are read, about ``2 + bits - log2(n)`` bits a key. A batch writes a new generation; the one before it can go once the
+    answers are written. A partition of the batch and one of the index meet in a task, so ``parts`` must grow with the
+    keys; a million keys a part is a good size.
+    """
+
+    _RUN = "part int, n long, low_bits int, buckets long, unary binary, low binary"
+
+    def __init__(self, spark: SparkSession, *, bits: int = 64, parts: int = 64, folder: str | None = None) -> None:
+        if not 8 <= bits <= 64:
+            raise ValueError("bits must be from 8 to 64")
+        self.spark, self.bits, self.parts = spark, bits, parts
+        self.runs = spark.read.schema(self._RUN).parquet(folder) if folder else spark.createDataFrame([], self._RUN)
+
+    def save(self, folder: str) -> None:
+        """Writes the index, to be opened with ``folder``."""
+        self.runs.write.parquet(folder)
+
+    def probe(self, batch: DataFrame, *, key: str, record_id: str) -> DataFrame:
+        """The ids of the records whose non-null key is in the index or in a record of the batch with a smaller id; adds their keys."""
+        bits, parts = self.bits, self.parts
+        rows = batch.filter(F.col(key).isNotNull()).select(F.xxhash64(F.col(key).cast("string")).alias("key"), F.col(record_id).cast("long").alias("id"))
+        print_of = F.col("key") if bits == 64 else F.shiftrightunsigned("key", 64 - bits)
+        settled = rows.mapInPandas(_settle, "part long, key long, id long, again boolean")
+        # repeats within a map task are answered there; the first of each key goes to its part
+        settled = materialize(settled.select("key", "id", "again"))
+        first = settled.filter("NOT again").select(F.pmod(F.xxhash64(print_of), F.lit(parts)).cast("int").alias("part"), "key", "id")
+
+        def meet(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+            seen = SeenSet(bits)
+            seen.runs = [EliasFano.from_row(bits, *r) for r in old[["n", "low_bits", "buckets", "unary", "low"]].itertuples(index=False)]
+            seen.runs.sort(key=lambda r: -r.n)
+            part = int(old["part"].iloc[0] if len(old) else new["part"].iloc[0])
+            new = new.sort_values("id")
+            keys = new["key"].to_numpy(dtype=np.int64).view(np.uint64) >> np.uint64(64 - bits)
+            own, at = np.unique(keys, return_index=True)
+            repeated = np.ones(len(keys), dtype=bool)
+            held = seen.contains(own)
+            repeated[at] = held
+            seen.add(own[~held])
+            answers = pd.DataFrame({"id": new["id"].to_numpy()[repeated]})
+            runs = pd.DataFrame([(part, *r.to_row()) for r in seen.runs if r.n], columns=["part", "n", "low_bits", "buckets", "unary", "low"])
+            return pd.concat([answers, runs], ignore_index=True).reindex(columns=["id", "part", "n", "low_bits", "buckets", "unary", "low"]).astype({c: "Int64" for c in ("id", "part", "n", "low_bits", "buckets")})
+
+        met = materialize(self.runs.groupBy("part").cogroup(first.groupBy("part")).applyInPandas(meet, f"id long, {self._RUN}"))
+        self.runs = met.filter("id IS NULL").drop("id")
+        return settled.filter("again").select("id").unionByName(met.filter("id IS NOT NULL").select("id")).withColumnRenamed("id", record_id)
+
+    def size(self) -> DataFrame:
+        """One row: keys held, bytes they take, and the share of new keys that would be called seen, keys / 2 ** bits."""
+        return self.runs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_keys"), F.coalesce(F.sum(F.length("unary") + F.length("low")), F.lit(0)).alias("n_bytes")).withColumn("wrong_rate", F.col("n_keys") / F.lit(2.0**self.bits))
+
+
 def wrong_answers(records: DataFrame, earlier: DataFrame, *, key: str, record_id: str, bits: int) -> DataFrame:
     """One row: records, new_keys (first occurrences), wrong (of those, called seen) and the measured rate of wrong answers."""
     found = seen_before(records, earlier, key=key, record_id=record_id, bits=bits)

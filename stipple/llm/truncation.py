@@ -240,6 +240,17 @@ def _blocks(counts: DataFrame) -> DataFrame:
     return sizes.groupBy("source").agg(of("c").alias("c_blocks"), of("b").alias("b_blocks"))
 
 
+def length_limits(docs: DataFrame, *, text: str = "text", source: str = "source") -> DataFrame:
+    """source, unit, n: lengths at which the files of a source pile up, in characters (c) or bytes (b), without their last line ends.
+
+    Null and blank texts, and those without a source, take no part; equal texts of a source count once. An empty table gives
+    no rows.
+    """
+    cut = F.regexp_replace(F.col(text), r"[\r\n]++\z", "")
+    own = docs.filter(F.col(text).rlike(r"\S")).select(F.col(source).alias("source"), F.length(cut).cast("long").alias("n_chars"), F.octet_length(cut).cast("long").alias("n_bytes"), F.xxhash64(text).alias("print"))
+    return _limits(_lengths(own))
+
+
 def _plain(body: Column) -> Column:
     """A dialogue without the ends of its cues."""
     return F.replace(F.replace(body, F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(" "))

@@ -148,3 +148,31 @@ def test_wrong_answers_are_measured_as_p2_found_runs(spark, tmp_path):
     spark.createDataFrame([("k0",)], "strid string").write.parquet(str(tmp_path / "seen_strids.parquet"))
     rows = {r.bits: (r.records, r.new_keys, r.wrong) for r in queries.p2_wrong_answers(spark, str(tmp_path)).collect()}
     assert rows == {32: (20, 6, 0), queries.FINGERPRINT_BITS: (20, 6, 0)}
+
+
+@pytest.mark.parametrize("bits", [12, 64])
+def test_a_kept_index_answers_like_one_run(spark, tmp_path, bits):
+    rng = random.Random(5)
+    keys = ["hot"] * 200 + [f"k{i}" for i in range(400)] + [None, ""]
+    recs = spark.createDataFrame([(i, rng.choice(keys), "clash") for i in range(1200)], "rec_id long, strid string, part string")
+    want = {r.rec_id for r in seen.seen_before(recs, None, key="strid", record_id="rec_id", bits=bits).collect()}
+    index, got = seen.SeenIndex(spark, bits=bits, parts=5), set()
+    for k, (a, b) in enumerate([(0, 300), (300, 301), (301, 301), (301, 1200)]):
+        batch = recs.filter((F.col("rec_id") >= a) & (F.col("rec_id") < b))
+        got |= {r.rec_id for r in index.probe(batch, key="strid", record_id="rec_id").collect()}
+        if k == 1:  # closed and opened again, without the earlier records
+            index.save(str(tmp_path / "index"))
+            index = seen.SeenIndex(spark, bits=bits, parts=5, folder=str(tmp_path / "index"))
+    assert got == want
+    if bits == 64:
+        size = index.size().first()
+        assert size.n_keys == recs.filter("strid IS NOT NULL").select("strid").distinct().count() and 0 < size.wrong_rate < 1e-15
+
+
+def test_bands_do_not_change_the_result(spark):
+    rng = random.Random(6)
+    data = [(rng.choice(["a"] * 30 + ["b", "c"]), f"f{rng.randint(0, 60)}", rng.choice([1.0, 2.0, rng.random() * 9])) for _ in range(900)]
+    df = spark.createDataFrame(data, "g string, i string, s double")
+    found = [sorted(tuple(r) for r in topn.top_n(df, F.col("g"), F.col("i"), F.col("s"), 4, shares=x).collect()) for x in (None, [], [0.01, 0.02, 0.5], [0.999])]
+    assert len(found[0]) == 12 and all(f == found[0] for f in found)
+    assert topn.band_shares(2, 10, 10) == [0.25, 0.5] and topn.band_shares(5, 3, 0) == []
