@@ -6,10 +6,13 @@ point is located by a binary search among them. Every slab is sent to the tiles
 tile and, if it lies within the distance of a border, to the smaller ones of the neighbours as a halo. Both joins then
 run on the sorted rows of a tile as array operations.
 
-Scale: one shuffle of the points (about 3 % halo rows at the default tile) and of the slabs; nothing is broadcast and
-nothing goes to the driver but the number of levels, which is logarithmic in the largest region. The work in a tile is
+Scale: one shuffle of the points (about 3 % halo rows at the default tile) and of the slabs. The work in a tile is
 bounded by its own output: n points in a tile of side ``tile`` give about ``n * n * 3 * distance**2 / tile**2 / 2``
-near pairs. Regions wider than ``MAX_SPAN`` tiles go to a coarser level of tiles, whose points are salted.
+near pairs. Regions wider than ``MAX_SPAN`` tiles go to a coarser level of tiles. The points of all tiles are counted
+first, and a tile of more than ``TILE_POINTS``, at any level, is cut into horizontal strips: points go to their strip
+(and, as a halo, to the one below), slabs to the strips they touch. So no task holds a dense spot or the points of a wide
+region whole, unless they share one height. The table of cut tiles has at most points / ``TILE_POINTS`` rows; it is
+broadcast up to ``MAX_CUT`` of them. To the driver go it and the number of levels, logarithmic in the largest region.
 """
 
 from __future__ import annotations
@@ -26,12 +29,12 @@ from stipple.session import spread
 
 #: Tiles that a region may span in one direction before it moves to the next level; the next level's tiles are as much larger.
 MAX_SPAN = 64
-#: Salts of a tile at the levels above 0.
-SALTS = 16
+#: Points of a tile, at any level, from which it is cut into strips; cut tiles that are broadcast.
+TILE_POINTS, MAX_CUT = 200_000, 1_000_000
 #: Candidate pairs that are expanded at once.
 BLOCK = 2_000_000
 
-_ROWS = "lev int, tx long, ty long, salt int, kind int, id long, x double, y double, edges binary, ordered boolean"
+_ROWS = "lev int, tx long, ty long, kind int, id long, x double, y double, edges binary, ordered boolean"
 
 
 def finite(c: Column) -> Column:
@@ -111,8 +114,8 @@ def slabs(xs: np.ndarray, ys: np.ndarray) -> Iterator[tuple[float, float, np.nda
 
 
 def _slab_rows(tile: float):
-    names = ("lev", "tx", "ty", "salt", "kind", "id", "x", "y", "edges", "ordered")
-    types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.bool_())
+    names = ("lev", "tx", "ty", "kind", "id", "x", "y", "edges", "ordered")
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.bool_())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,14 +128,12 @@ def _slab_rows(tile: float):
                 cell = lambda v: np.floor(v / side).astype(np.int64)  # noqa: B023, E731
                 i0, i1 = cell(np.minimum.reduceat(ends.min(axis=0), start)), cell(np.maximum.reduceat(ends.max(axis=0), start))
                 j0, j1 = cell(y_from), cell(y_to)
-                salts = np.where(lev[ring] > 0, SALTS, 1)
                 wide, tall = i1 - i0 + 1, j1 - j0 + 1
                 packed = pa.Array.from_buffers(pa.binary(), len(ring), [None, pa.py_buffer(np.r_[start, start[-1] + size[-1]].astype(np.int32) * 24), pa.py_buffer(np.ascontiguousarray(edges))])
-                for s, k in _expand(np.zeros(len(ring), dtype=np.int64), wide * tall * salts):
-                    k, salt = np.divmod(k, salts[s])
+                for s, k in _expand(np.zeros(len(ring), dtype=np.int64), wide * tall):
                     j, i = np.divmod(k, wide[s])
                     r = ring[s]
-                    columns = (lev[r], i0[s] + i, j0[s] + j, salt, np.zeros(len(s), dtype=np.int64), ident[r], y_from[s], y_to[s], None, held[s])
+                    columns = (lev[r], i0[s] + i, j0[s] + j, np.zeros(len(s), dtype=np.int64), ident[r], y_from[s], y_to[s], None, held[s])
                     yield pa.RecordBatch.from_arrays([packed.take(pa.array(s)) if c is None else pa.array(c).cast(t) for c, t in zip(columns, types)], names=names)
 
     return run
@@ -142,7 +143,7 @@ def _locate(side: float, distance: float, near: bool):
     """Joins the rows of whole tiles; ``pdf`` is sorted by tile."""
 
     def pairs(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        key = pdf[["lev", "tx", "ty", "salt"]].to_numpy()
+        key = pdf[KEYS].to_numpy()
         tile = np.cumsum(np.r_[False, (key[1:] != key[:-1]).any(axis=1)])
         lev, kind, ident, x, y = (pdf[c].to_numpy() for c in ("lev", "kind", "id", "x", "y"))
         size = side * float(MAX_SPAN) ** lev.astype(float)
@@ -209,26 +210,63 @@ def _locate(side: float, distance: float, near: bool):
                 yield pd.DataFrame({"kind": "in", "a": ident[q[inside]], "b": ident[own[s[inside]]]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        rows = 0
+        ready: list[pd.DataFrame] = []  # rows of whole groups
+        held: list[pd.DataFrame] = []  # rows of the last group, which may go on
+        rows, last = 0, None
         for pdf in batches:
-            held.append(pdf)
-            rows += len(pdf)
-            if rows < 200_000:
+            key = pdf[KEYS].to_numpy()
+            if not len(key):
                 continue
-            whole = pd.concat(held, ignore_index=True)
-            last = whole[["lev", "tx", "ty", "salt"]].to_numpy()
-            same = (last == last[-1]).all(axis=1)
-            to = len(whole) - int(same.sum())
-            if to:
-                yield from pairs(whole.iloc[:to].reset_index(drop=True))
-            held, rows = [whole.iloc[to:]], 0
-        if held and sum(map(len, held)):
-            yield from pairs(pd.concat(held, ignore_index=True))
+            other = np.flatnonzero((key != key[-1]).any(axis=1))
+            to = int(other[-1]) + 1 if len(other) else 0
+            if to or (last is not None and (last != key[-1]).any()):
+                ready += [*held, pdf.iloc[:to]]
+                rows += sum(map(len, held)) + to
+                held = []
+                if rows >= 200_000:
+                    yield from pairs(pd.concat(ready, ignore_index=True))
+                    ready, rows = [], 0
+            held.append(pdf.iloc[to:])
+            last = key[-1]
+        ready += held
+        if sum(map(len, ready)):
+            yield from pairs(pd.concat(ready, ignore_index=True))
 
     return run
 
 
+KEYS = ["lev", "tx", "ty", "strip"]
+
+
+def _strips(rows: DataFrame, counts: DataFrame, tile: float, levels: list[int], r: float) -> DataFrame:
+    """Rows with the strip of their tile; those of cut tiles go to each strip they touch, home or as a halo.
+
+    ``counts`` has the points per tile of level 0; those of the coarser levels are sums of them.
+    """
+    every = None
+    for lev in levels:
+        up = lambda c: F.floor(F.col(c) / MAX_SPAN**lev) if lev else F.col(c)  # noqa: B023, E731
+        one = counts.groupBy(up("tx").alias("tx"), up("ty").alias("ty")).agg(F.sum("n").alias("n")).filter(F.col("n") > TILE_POINTS).withColumn("lev", F.lit(lev))
+        every = one if every is None else every.unionByName(one)
+    cut = every.select("lev", "tx", "ty", F.ceil(F.col("n") / TILE_POINTS).alias("n_strips")).collect()  # points / TILE_POINTS at most
+    if not cut:
+        return rows.withColumn("strip", F.lit(0))
+    # a strip is not lower than twice the distance
+    most = lambda lev: max(1, int(tile * MAX_SPAN**lev / (2 * r))) if r and not lev else 1 << 20
+    table = rows.sparkSession.createDataFrame([(t["lev"], t["tx"], t["ty"], min(int(t["n_strips"]), most(t["lev"]))) for t in cut], "lev int, tx long, ty long, n_strips int")
+    rows = rows.join(F.broadcast(table) if len(cut) <= MAX_CUT else table, ["lev", "tx", "ty"], "left").withColumn("n_strips", F.coalesce("n_strips", F.lit(1)))
+    side = F.lit(tile) * F.pow(F.lit(float(MAX_SPAN)), F.col("lev"))
+    height = side / F.col("n_strips")
+    strip = lambda y: F.least(F.greatest(F.floor((y - F.col("ty") * side) / height), F.lit(0)), F.col("n_strips") - 1).cast("int")
+    # slabs are rows (x: from y, y: to y); of points only level 0 has halos
+    reach = F.when(F.col("lev") == 0, F.lit(r * (1 + 1e-9))).otherwise(0.0)
+    low = strip(F.when(F.col("kind") == 0, F.col("x")).otherwise(F.col("y") - reach))
+    high = strip(F.when(F.col("kind") == 2, F.col("y") + reach).otherwise(F.col("y")))
+    rows = rows.withColumn("strip", F.explode(F.when(F.col("n_strips") == 1, F.array(F.lit(0))).otherwise(F.sequence(low, high))))
+    home = (F.col("kind") == 1) & (F.col("n_strips") > 1) & (F.col("strip") != strip(F.col("y")))
+    return rows.withColumn("kind", F.when(home, 2).otherwise(F.col("kind"))).drop("n_strips")
+
+
 def near_and_inside(
     points: DataFrame,
     regions: DataFrame | None,
@@ -247,7 +285,8 @@ def near_and_inside(
     Points with a null, NaN or infinite coordinate or a null id take no part. A region takes part if both lists are
     non-null, equally long and have at least 3 vertices; a null, NaN or infinite vertex is passed over. Points with equal
     coordinates are near each other. Empty inputs give no rows; other columns are ignored. ``distance=None`` leaves the
-    near pairs out, ``regions=None`` the regions. ``tile`` must be at least twice the distance.
+    near pairs out, ``regions=None`` the regions. ``tile`` is in the unit of the coordinates and must be at least twice the
+    distance; about a hundred points a tile is a good size.
     """
     r = float(distance or 0.0)
     if tile < 2 * r:
@@ -261,8 +300,7 @@ def near_and_inside(
         side = tile * MAX_SPAN**lev
         i = F.col("tx") + dx if not lev else F.floor(F.col("x") / side)
         j = F.col("ty") + dy if not lev else F.floor(F.col("y") / side)
-        salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int") if lev else F.lit(0)
-        return F.struct(F.lit(lev).alias("lev"), i.alias("tx"), j.alias("ty"), salt.alias("salt"), F.lit(kind).alias("kind"))
+        return F.struct(F.lit(lev).alias("lev"), i.alias("tx"), j.alias("ty"), F.lit(kind).alias("kind"))
 
     copies = [at(0, 0, 1)]
     rings, levels = None, []
@@ -284,13 +322,14 @@ def near_and_inside(
         left = F.col("x") - F.col("tx") * tile <= r * (1 + 1e-9)
         low = F.col("y") - F.col("ty") * tile <= r * (1 + 1e-9)
         high = (F.col("ty") + 1) * tile - F.col("y") <= r * (1 + 1e-9)
-        none = F.lit(None).cast("struct<lev:int,tx:bigint,ty:bigint,salt:int,kind:int>")
+        none = F.lit(None).cast("struct<lev:int,tx:bigint,ty:bigint,kind:int>")
         for cond, dx, dy in ((left, -1, 0), (low, 0, -1), (left & low, -1, -1), (left & high, -1, 1)):
             copies.append(F.when(cond, at(dx, dy, 2)).otherwise(none))
     rows = p.select("id", "x", "y", F.explode(F.array_compact(F.array(*copies))).alias("t")).select(
-        "t.lev", "t.tx", "t.ty", "t.salt", "t.kind", "id", "x", "y", F.lit(None).cast("binary").alias("edges"), F.lit(None).cast("boolean").alias("ordered")
+        "t.lev", "t.tx", "t.ty", "t.kind", "id", "x", "y", F.lit(None).cast("binary").alias("edges"), F.lit(None).cast("boolean").alias("ordered")
     )
     if rings is not None:
         rows = rows.unionByName(spread(rings).mapInArrow(_slab_rows(tile), _ROWS))
-    keys = ["lev", "tx", "ty", "salt"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_locate(tile, r, near), "kind string, a long, b long")
+    counts = p.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n"))
+    rows = _strips(rows, counts, tile, sorted({0, *levels}), r if near else 0.0)
+    return rows.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInPandas(_locate(tile, r, near), "kind string, a long, b long")

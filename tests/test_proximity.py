@@ -148,3 +148,22 @@ def test_nearest_vectors(spark):
         assert [got[q, 1], got[q, 2]] == np.argsort(d)[:2].tolist()
     assert len(got) == 10
     assert spatial.nearest_vectors(df.limit(0), ident="vec_id", vector="embedding").collect() == []
+
+
+def test_dense_tiles_and_wide_regions_are_cut(spark, monkeypatch):
+    """A dense tile, one region over everything and small ones: strips give the same rows, and no group holds a tile whole."""
+    rng = np.random.default_rng(11)
+    xy = np.round(np.concatenate([rng.uniform(0, 15.9, (3000, 2)), rng.uniform(-40, 60, (1500, 2))]), 2)
+    points = spark.createDataFrame([(i, float(a), float(b), "c") for i, (a, b) in enumerate(xy)], "mol_id long, x double, y double, strip string")
+    wide = [(1, [-3000.0, 3000.0, 3000.0, -3000.0], [-3000.0, -2900.0, 3000.0, 2800.0]), (2, [1.003, 9.007, 12.003], [2.007, 14.001, 3.003]), (3, [-35.001, 55.003, 10.007], [-30.003, -20.001, 50.003])]
+    regions = spark.createDataFrame(wide, "poly_id long, xs array<double>, ys array<double>")
+    found = []
+    for most in (10**9, 150):
+        monkeypatch.setattr(proximity, "TILE_POINTS", most)
+        found.append(sorted(tuple(r) for r in proximity.near_and_inside(points, regions, 0.305).collect()))
+    assert found[0] == found[1] and len(set(found[1])) == len(found[1])
+    d2 = ((xy[:, None, :] - xy[None, :, :]) ** 2).sum(axis=2)
+    near = {("near", int(i), int(j)) for i, j in zip(*np.nonzero(d2 <= 0.305**2)) if i < j}
+    assert {r for r in found[1] if r[0] == "near"} == near
+    assert sum(r[0] == "in" and r[2] == 1 for r in found[1]) == len(xy)
+
