@@ -80,7 +80,9 @@ def parse_lines(df: DataFrame, layouts: dict[str, Layout], *, kind: str = "kind"
 
 def rejected(parsed: DataFrame) -> DataFrame:
     """The failing rows with the reason of their first error."""
-    return parsed.filter(F.size("errors") > 0).withColumn("reason", F.get("errors", F.lit(0))["reason"]).drop("errors", "fields")
+    # taken out by a generator, which evaluates the rules once and drops rows with an empty array
+    rest = [c for c in parsed.columns if c not in ("errors", "fields", "reason")]
+    return parsed.select(*rest, F.explode(F.slice("errors", 1, 1)).alias("_e")).select(*rest, F.col("_e.reason").alias("reason"))
 
 
 def broken_rules(parsed: DataFrame, *, keep: tuple[str, ...] = ("line_id",)) -> DataFrame:
