@@ -11,8 +11,12 @@ from stipple.session import load
 FINGERPRINT_BITS = 64
 STRID_SHARE, TILE_SHARE = 0.005, 0.03
 CONTAINER = 2048
-#: Beginnings of cues that are credits or adverts in files of this kind; they may stand within a passage.
-CREDITS = ("subtitles by", "captions by", "synced by", "synced and corrected", "ripped by", "encoded by", "support us", "advertise your")
+#: Beginnings of cues that are credits or adverts, a parameter of p8 and p9 for files of this kind; the operators know none.
+#: In p8 such cues may stand within a passage; in p9 they end a file, which is also learned where many files have them.
+CREDITS = (
+    "subtitles by", "captions by", "captions at", "synced by", "synced and corrected", "ripped for", "ripped by", "encoded by", "support us", "advertise your", "to be continued",
+    "end of part",
+)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -115,17 +119,17 @@ def p8_leaked_items(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Files that were cut off before their end."""
-    return truncation.judge(load(spark, d, "documents")).filter("cut").select("doc_id")
+    return truncation.judge(load(spark, d, "documents"), phrases=CREDITS).filter("cut").select("doc_id")
 
 
 def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
     """How many files of each source were cut off, and their share."""
-    return truncation.by_source(truncation.judge(load(spark, d, "documents")))
+    return truncation.by_source(truncation.judge(load(spark, d, "documents"), phrases=CREDITS))
 
 
 def p9_signs(spark: SparkSession, d: str) -> DataFrame:
     """How many files each sign decides; those that begin with 'prefix' are the prefix joins."""
-    return truncation.judge(load(spark, d, "documents")).filter("cut").groupBy("why").agg(F.count(F.lit(1)).alias("n_files"))
+    return truncation.judge(load(spark, d, "documents"), phrases=CREDITS).filter("cut").groupBy("why").agg(F.count(F.lit(1)).alias("n_files"))
 
 
 def p9_limits(spark: SparkSession, d: str) -> DataFrame:
