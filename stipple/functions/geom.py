@@ -90,11 +90,6 @@ def cell(c: Column, side: float) -> Column:
     return F.floor(c / F.lit(float(side)))
 
 
-def cells_between(low: Column, high: Column, side: float) -> Column:
-    """All grid cells from one coordinate to another."""
-    return F.sequence(cell(low, side), cell(high, side))
-
-
 def scan_fill(xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The grid cells (i, j) whose centres are in a ring given in grid units, row by row."""
     x1, y1 = np.asarray(xs, dtype=float), np.asarray(ys, dtype=float)

@@ -150,8 +150,3 @@ def in_every_sample(df: DataFrame, feature: str, sample: str, measure: str, leas
     n = df.agg(F.count_distinct(sample).alias("n")).scalar()
     totals = df.groupBy(feature, sample).agg(F.sum(measure).alias("t")).filter(F.col("t") >= least)
     return totals.groupBy(feature).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == n).select(feature)
-
-
-def escape(text: str) -> str:
-    """A text as a regular expression that matches it."""
-    return re.escape(text)

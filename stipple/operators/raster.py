@@ -67,12 +67,6 @@ def by_gene(df: DataFrame, colors: DataFrame, per_pixel: float, *, x: str = "x",
     return colored_points(own, x, y, per_pixel, F.col("_rgb"), count=F.col(count), per_count=per_count)
 
 
-def unit_levels(df: DataFrame, per_pixel: float, *, x: str, y: str, unit: str, count: str, q: float = 0.99) -> DataFrame:
-    """unit, level: the discrete quantile of the unit's sums per pixel, by which its color is scaled."""
-    own = pixels(df, x, y, per_pixel).groupBy(unit, "px", "py").agg(F.sum(count).alias("s")).filter("s > 0")
-    return own.groupBy(unit).agg(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY s)").alias("level"))
-
-
 def fill_polygons(rings: Sequence[tuple[Sequence[float], Sequence[float], str]], width: int, height: int, *, opacity: float = 0.5, scale: float = 1.0, xmin: float = 0.0, ymin: float = 0.0) -> np.ndarray:
     """An RGB array of rings (xs, ys, hex) blended over black in their order, which decides where they overlap.
 

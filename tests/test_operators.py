@@ -193,3 +193,50 @@ def test_streams(spark, tmp_path):
     assert {r.tile: r["count"] for r in spark.table("totals").collect()} == {1101: 2, 1102: 0, 9: 9}
     rollups.to_memory(rollups.without_redelivered(stream, ("lane",), time="read_at"), "once").awaitTermination(120)
     assert sorted(r.lane for r in spark.table("once").collect()) == [1, 9]
+
+
+def test_entries_without_a_barcode_or_feature_are_errors(spark):
+    mtx = spark.createDataFrame([(1, 1, 5), (2, 1, 3)], "ftr long, bcd long, c1 long")
+    bcd, ftr = spark.createDataFrame([(1, "A")], "nid long, strid string"), spark.createDataFrame([(1, "f1")], "nid long, id string")
+    with pytest.raises(Exception, match="no feature for 2"):
+        joins.matrix_entries(mtx, bcd, ftr).collect()
+    assert [r.ftr_id for r in joins.matrix_entries(mtx, bcd, ftr, strict=False).collect()] == ["f1"]
+    with pytest.raises(Exception, match="no barcode for 1"):
+        joins.matrix_entries(mtx, bcd.limit(0), ftr, strict=False).collect()
+
+
+def test_grid_offsets(spark):
+    layout = spark.createDataFrame([("a", 1, 1), ("b", 1, 3), ("c", 3, 1)], "tile string, row int, col int")
+    extents = spark.createDataFrame([("a", 0, 9, 5, 24), ("b", 0, 19, 0, 0), ("c", -5, 4, 0, 29)], "tile string, xmin long, xmax long, ymin long, ymax long")
+    got = {r.tile: (r.x_offset, r.y_offset) for r in project.grid_offsets(layout, extents).collect()}
+    assert got == {"a": (0, 0), "b": (0, 30), "c": (20, 0)}
+    with pytest.raises(Exception, match="start at 1"):
+        project.grid_offsets(layout.withColumn("row", F.col("row") - 1), extents).collect()
+
+
+def test_weighted_combination_of_p_values(spark):
+    from stipple.functions import stats
+
+    def one(values, weights=None):
+        df = spark.createDataFrame([(values, weights)], "v array<double>, w array<double>")
+        return df.select(stats.cauchy_combination(F.col("v"), F.col("w") if weights else None).alias("p")).first().p
+
+    assert one([3.0]) == pytest.approx(3.0, abs=1e-6) and one([200.0, 200.0]) == pytest.approx(200.0, abs=1e-6)
+    assert one([300.0, 0.3]) == pytest.approx(stats.cauchy_combination_value([300.0, 0.3]), abs=1e-6)
+    assert one([2.0, 5.0], [1.0, 0.0]) == pytest.approx(2.0, abs=1e-6) and one([2.0, float("nan"), None], [1.0, 1.0, 1.0]) == pytest.approx(2.0, abs=1e-6)
+    assert one([1.0, 4.0], [3.0, 3.0]) == pytest.approx(one([1.0, 4.0]), abs=1e-9) and one([4.0, 1.0], [9.0, 1.0]) > one([4.0, 1.0])
+    assert one([]) is None
+    # a p-value near 1 lowers the sum beside a tiny one
+    assert one([16.0, 1e-16]) < one([16.0, 0.301])
+
+
+def test_intermediate_tables_are_removed(spark):
+    import os
+
+    from stipple import session
+
+    df = session.materialize(spark.range(5).toDF("a"))
+    path = session._made[-1][1]
+    assert df.count() == 5 and os.path.isdir(path.removeprefix("file:"))
+    session.release()
+    assert not session._made and not os.path.exists(path.removeprefix("file:"))
