@@ -14,7 +14,10 @@ from stipple.sources import text_tables as tt
 
 
 def read_entries(spark: SparkSession, path: str, *, counts: int | None = None) -> DataFrame:
-    """ftr, bcd, c1..cn of a coordinate matrix file; comment lines and the line of dimensions drop out."""
+    """ftr, bcd, c1..cn of a coordinate matrix, one file or a folder of its parts; comment lines and the line of dimensions drop out.
+
+    Parts follow each other in the order of their names, and only the first line that is no comment has the dimensions.
+    """
     start = tt.head(spark, path, 1000)
     dims = next((k for k, v in enumerate(start) if not v.startswith("%")), None)
     if dims is None:
@@ -22,7 +25,7 @@ def read_entries(spark: SparkSession, path: str, *, counts: int | None = None) -
     sample = [v for v in start[dims + 1 :] if not v.startswith("%")][:1]
     n = counts or (len(sample[0].split()) - 2 if sample else 1)
     # the dimensions are the first line; an entry with the same text is told apart by its place
-    lines = tt.numbered(spark, path).filter((F.col("in_file") > dims) & ~F.col("value").startswith("%"))
+    lines = tt.numbered(spark, path).filter((F.col("ordinal") > dims) & ~F.col("value").startswith("%"))
     f = lines.select(F.split(F.trim("value"), r"\s+").alias("f"))
     at = lambda i: F.get("f", F.lit(i)).cast("bigint")
     return f.select(at(0).alias("ftr"), at(1).alias("bcd"), *(at(k + 2).alias(f"c{k + 1}") for k in range(n)))

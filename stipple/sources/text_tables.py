@@ -18,8 +18,14 @@ from stipple.functions import text as ft
 
 
 def head(spark: SparkSession, path: str, lines: int) -> list[str]:
-    """The first lines of a file."""
-    return [r["value"] for r in spark.read.text(path).limit(lines).collect()]
+    """The first lines of a file, or of a folder's files in the order of their names; a scan alone begins with the largest."""
+    files = sorted(r["file_path"] for r in spark.read.format("binaryFile").load(path).select("_metadata.file_path").collect())  # one row a file
+    scan, out = spark.read.text(path), []
+    for file in files:
+        if len(out) == lines:
+            break
+        out += [r["value"] for r in scan.filter(F.col("_metadata.file_path") == file).limit(lines - len(out)).collect()]
+    return out
 
 
 def read_all(spark: SparkSession, path: str) -> str:

@@ -74,6 +74,19 @@ def test_matrices_round_trip(spark, tmp_path, rows):
     assert (pos.barcode, pos.x, pos.y) == ("AA", 5.5, 6.0)
 
 
+def test_matrix_of_several_parts(spark, tmp_path, rows):
+    entries = [(f, b, f, b) for b in range(1, 41) for f in range(1, 31)]
+    folder = tmp_path / "a b%20c" / "matrix.mtx.gz"
+    folder.mkdir(parents=True)
+    put(folder / "part-00000.gz", "%%MatrixMarket matrix coordinate integer general\n")  # the smallest files are the first
+    put(folder / "part-00001.gz", "%\n30 40 1200\n")
+    for k, part in enumerate([entries[:3], entries[3:900], [], entries[900:]], 2):
+        put(folder / f"part-0000{k}.gz", "".join(" ".join(map(str, e)) + "\n" for e in part))
+    assert tt.head(spark, str(folder), 4) == ["%%MatrixMarket matrix coordinate integer general", "%", "30 40 1200", "1 1 1 1"]
+    assert matrices.read_dimensions(spark, str(folder)) == (30, 40, 1200)
+    assert rows(matrices.read_entries(spark, str(folder))) == sorted(entries, key=repr)
+
+
 def test_sparse_rows(spark, tmp_path, rows):
     long = spark.createDataFrame([("c1", "g1", 2), ("c1", "g2", 1), ("c2", "g2", 4), ("c3", "g1", 0)], "cell_id string, feature string, cnt long")
     names = spark.createDataFrame([("g1", 0), ("g2", 1)], "feature string, idx int")
