@@ -16,10 +16,11 @@ that never ends a cue. Marks of an author (trailing off, interruption, sounds, s
 source's limit where the source adds dots itself; a last cue that many files have is complete.
 
 Scale: texts are read once and their dialogue is written once. Dialogues that share an opening with another one are
-sorted by range, so that no group of copies meets in a task, and each is compared with what follows it. Words and
-cues are hashed only at the lengths that open ends with the same first characters have. The other shuffles carry
-counters, pre-aggregated by task. The table of ends has one small row a file; the sides it joins are one counter a key,
-so adaptive execution broadcasts them by measured size or splits the skewed files.
+sorted by range and each is compared with what follows it; of a group of copies a task holds the open prefixes alone.
+Words and cues are hashed only at the lengths that open ends with the same first characters have. The other shuffles
+carry counters, pre-aggregated by task. The table of ends has one small row a file; the sides it joins are one counter a
+key, written first, so they are broadcast by their size or adaptive execution splits the skewed files. The driver holds
+the plan of one step at a time and the first RANGE characters of sampled dialogues.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ HELD = 300_000
 OPENING = 8
 #: Characters by which long values meet; shorter ones meet the first KEY characters of all.
 KEY = 12
+#: Characters by which sorted values are divided into ranges; samples of them reach the driver.
+RANGE = 64
 #: Share of closed cues from which a file counts as one that closes its sentences.
 CLOSES = 0.2
 #: Lengths pile up where at least PILE files have one, and TIMES as many as lengths within WINDOW have on average.
@@ -264,7 +267,8 @@ def strict_prefixes(bodies: DataFrame) -> DataFrame:
     values take no part.
 
     In byte order, a value's continuations follow it at once. The values are sorted by range, copies apart, and every
-    task walks its own with the prefixes still open; the last value of a range meets the first of the next one.
+    task walks its own with the prefixes still open; the last value of a range meets the first of the next one. Values with
+    the same first RANGE characters are in one range, whose sort may spill; none but the open prefixes are held.
     """
     own = bodies.filter(F.length("body") > 0).groupBy(_plain(F.col("body")).alias("value")).agg(F.min(F.struct("body", "halts")).alias("_b")).select("value", "_b.*")
     flags = ("in_word", "in_cue", "new_cue", "halted")
@@ -295,7 +299,8 @@ def strict_prefixes(bodies: DataFrame) -> DataFrame:
         yield table([(v, *found, None, None, None) for v, found in stack if any(found)] + [r for r in (first, last) if r])
 
     schema = "value string, in_word boolean, in_cue boolean, new_cue boolean, halted boolean, part int, body string, halts array<int>"
-    walked = materialize(own.repartitionByRange("value").sortWithinPartitions("value").mapInArrow(walk, schema))
+    ranges = own.repartitionByRange(F.substring("value", 1, RANGE))
+    walked = materialize(ranges.sortWithinPartitions("value").mapInArrow(walk, schema))
     inner = walked.filter("part IS NULL").select("value", *flags)
     firsts = walked.filter("part IS NOT NULL AND halted IS NULL").select("part", F.struct("value", "body", "halts").alias("next"))
     # one row a range: each with the first value of the range behind it
@@ -381,7 +386,9 @@ def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source
     read = materialize(spread(rows).mapInArrow(_read(subtitles.forms(phrases)), _ENDS.format(kind=kind)))
     whole = read.filter(F.col("key").isNull())
     files = whole.drop("key", "total", "ends", "body", "halts", "asides")
-    copies = _copies(whole.filter("body != ''").select("doc", "opening", "body", "halts"))
+    # each side of the last join is written first: adaptive execution plans and describes all joins anew at every stage of a
+    # query, so that one over all of them takes the driver's memory
+    copies = materialize(_copies(whole.filter("body != ''").select("doc", "opening", "body", "halts")))
     counted = materialize(read.filter(F.col("key").isNotNull()).groupBy("key").agg(F.sum("total").alias("total"), F.sum("ends").alias("ends")))
     # ends that no mark closes are joined as words, cue heads and cues
     open_end = ~F.col("stop") & ~F.col("trail")
@@ -394,13 +401,14 @@ def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source
     w = known.select(F.col("value").alias("_w"), F.col("total").alias("w_total"), F.col("ends").alias("w_ends"), F.col("longer").alias("w_longer"))
     h = known.select(F.col("value").alias("_h"), F.col("longer").alias("h_longer"))
     c = occurrences(open_files.select(F.col("cue").alias("value")), _complete_cues(whole)).withColumnsRenamed({"value": "_c", "total": "c_total", "longer": "c_longer"})
-    tails = files.filter("cue != ''").groupBy(F.col("cue").alias("_t"), "n_chars").agg(F.lit(1).alias("one")).groupBy("_t").agg(F.count(F.lit(1)).alias("tails"))
-    counts = _lengths(files)
-    limits, blocks = _limits(counts), _blocks(counts).withColumnRenamed("source", "_s3")
+    tails = files.filter("cue != ''").select(F.col("cue").alias("_c"), "n_chars").distinct().groupBy("_c").agg(F.count(F.lit(1)).alias("tails")).filter(F.col("tails") >= TAILS)
+    c = c.unionByName(tails, allowMissingColumns=True).groupBy("_c").agg(*(F.max(k).alias(k) for k in ("c_total", "c_longer", "tails")))
+    c = materialize(c)
+    counts = materialize(_lengths(files))
+    limits, blocks = materialize(_limits(counts)), materialize(_blocks(counts).withColumnRenamed("source", "_s3"))
     chars = limits.filter("unit = 'c'").select(F.col("source").alias("_s1"), F.col("n").alias("_n1"))
     octets = limits.filter("unit = 'b'").select(F.col("source").alias("_s2"), F.col("n").alias("_n2"))
     full = files.join(w, word == F.col("_w"), "left").join(h, head == F.col("_h"), "left").join(c, F.col("cue") == F.col("_c"), "left")
-    full = full.join(tails.filter(F.col("tails") >= TAILS), F.col("cue") == F.col("_t"), "left")
     full = full.join(chars, (F.col("source") == F.col("_s1")) & (F.col("n_chars") == F.col("_n1")), "left")
     full = full.join(octets, (F.col("source") == F.col("_s2")) & (F.col("n_bytes") == F.col("_n2")), "left")
     full = full.join(blocks, F.col("source") == F.col("_s3"), "left")

@@ -278,6 +278,27 @@ def test_strict_prefixes(spark):
     assert truncation.strict_prefixes(spark.createDataFrame([], "body string, halts array<int>")).collect() == []
 
 
+def test_strict_prefixes_over_ranges(spark):
+    """Values whose first characters are alike stay in one range, whatever they go on with; others meet across ranges."""
+    rng = random.Random(4)
+    same = "ab " * truncation.RANGE
+    draw = lambda: "".join(rng.choice("ab ") for _ in range(rng.randint(1, 7))).strip()
+    values = {v for _ in range(400) if (v := rng.choice(["", same, same[: truncation.RANGE], same[: truncation.RANGE - 2], "b" + same]) + draw()).strip()}
+    got = {r.value for r in truncation.strict_prefixes(spark.createDataFrame([(v, []) for v in values], "body string, halts array<int>")).collect()}
+    assert got == {v for v in values if any(w != v and w.startswith(v) for w in values)}
+
+
+def test_the_driver_holds_single_steps(spark, monkeypatch):
+    """No step plans all joins at once, and no sample of whole dialogues is sent to the driver."""
+    plans, write = [], truncation.materialize
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(truncation, "materialize", lambda df: (plans.append(plan(df)), write(df))[1])
+    last = plan(truncation.judge(spark.createDataFrame([(1, srt(*SENTENCES), "c", "s")], SCHEMA)))
+    assert "Aggregate" not in last and max(len(re.findall(r"\bJoin ", p)) for p in [*plans, last]) <= 8
+    ranges = [line for p in plans for line in p.split("\n") if "RepartitionByExpression" in line]
+    assert ranges and all("substring(value" in line and f", 1, {truncation.RANGE})" in line for line in ranges)
+
+
 def test_occurrences(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(0, 18)))
